@@ -47,66 +47,100 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """Linear-interpolated quantiles as one row q0, q1, ...; exact, nulls ignored.
+# Values that may be ranked in one task at the end of a selection.
+SELECTION_ROWS = 100_000
 
-    A bounded sketch brackets each quantile first. Only values inside a bracket
-    are ranked exactly, after equal values were merged; the rest is counted.
+
+def values_at_ranks(
+    values: DataFrame, ranks: Sequence[int], size: int, low: float, high: float,
+    max_rows: int = SELECTION_ROWS, accuracy: int = 10_000,
+) -> dict[int, float]:
+    """The values at the given 1-based ranks of column ``v``, without a sort.
+
+    Each rank starts with the bracket [low, high]. A sketch of bounded size
+    narrows every bracket that still holds more than ``max_rows`` rows; counts
+    check that the rank stayed inside. What is left is ranked exactly.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    v = F.col("v")
+    brackets = {r: (low, high) for r in ranks}
+    placed = {r: (0, size) for r in ranks}
     slack = 2.0 / accuracy
-    edges = sorted({min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-slack, slack)})
-    marks = values.agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.percentile_approx("v", edges, accuracy).alias("marks"),
-    ).first()
-    n = marks["n"]
-    if n == 0:
-        return df.sparkSession.range(1).select(
-            *[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probabilities))]
-        )
-    at = dict(zip(edges, marks["marks"]))
-    picks, ranks = [], []
-    for p in probabilities:
-        low, high = at[min(max(p - slack, 0.0), 1.0)], at[min(max(p + slack, 0.0), 1.0)]
-        position = p * (n - 1)
-        below = int(position)
-        # The neighbour above may lie past the bracket, so brackets end at the next value.
-        picks.append((marks["lo"] if p - slack <= 0 else low, marks["hi"] if p + slack >= 1 else high))
-        ranks.append((below + 1, min(below + 2, n), position - below))
-    inside = None
-    for low, high in picks:
-        hit = F.col("v").between(low, high)
-        inside = hit if inside is None else inside | hit
-    # Values outside every bracket are kept as one row per gap between brackets.
-    gap = sum((F.when(F.col("v") > high, 1).otherwise(0) for _, high in picks), F.lit(0))
-    merged = (
-        values.select(F.when(inside, F.col("v")).alias("v"), F.when(~inside, gap).alias("gap"), F.col("v").alias("raw"))
-        .groupBy("v", "gap")
-        .agg(F.count("*").alias("c"), F.min("raw").alias("raw"))
-    )
-    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("raw").rowsBetween(Window.unboundedPreceding, 0))
-    placed = merged.withColumn("upto", upto)
 
-    def value_at(rank: int):
-        return F.min(F.when(F.col("v").isNotNull() & (F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("v")))
-
-    return placed.agg(
-        *[
-            (value_at(low) + (value_at(high) - value_at(low)) * weight).alias(f"q{i}")
-            for i, (low, high, weight) in enumerate(ranks)
-        ]
-    )
+    def inside(r: int):
+        return v.between(*brackets[r])
+
+    def open_ranks() -> list[int]:
+        return [r for r in ranks if placed[r][1] > max_rows and brackets[r][0] < brackets[r][1]]
+
+    while open_ranks():
+        todo = open_ranks()
+        edges = {}
+        for r in todo:
+            below, within = placed[r]
+            share = (r - below) / within
+            edges[r] = [max(share - slack, 0.0), min(share + slack, 1.0)]
+        marks = values.agg(
+            *[F.percentile_approx(F.when(inside(r), v), edges[r], accuracy).alias(f"m{r}") for r in todo]
+        ).first()
+        tried = dict(brackets)
+        for r in todo:
+            lo, hi = marks[f"m{r}"]
+            tried[r] = (tried[r][0] if edges[r][0] == 0.0 else lo, tried[r][1] if edges[r][1] == 1.0 else hi)
+        counts = values.agg(
+            *[F.count(F.when(v < tried[r][0], 1)).alias(f"b{r}") for r in todo],
+            *[F.count(F.when(v.between(*tried[r]), 1)).alias(f"i{r}") for r in todo],
+        ).first()
+        missed = False
+        for r in todo:
+            below, within = counts[f"b{r}"], counts[f"i{r}"]
+            if below < r <= below + within and within < placed[r][1]:
+                brackets[r], placed[r] = tried[r], (below, within)
+            else:
+                missed = True
+        if missed:
+            slack *= 4
+        if slack > 1:
+            break
+
+    found = {r: brackets[r][0] for r in ranks if brackets[r][0] == brackets[r][1]}
+    rest = [r for r in ranks if r not in found]
+    if rest:
+        tags = F.array_compact(F.array(*[F.when(inside(r), F.lit(r)) for r in rest]))
+        merged = values.select(F.explode(tags).alias("r"), "v").groupBy("r", "v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        offset = F.lit(0).cast("bigint")
+        for r in rest:
+            offset = F.when(F.col("r") == r, F.lit(r - placed[r][0]).cast("bigint")).otherwise(offset)
+        hit = (F.col("upto") >= offset) & (F.col("upto") - F.col("c") < offset)
+        for row in merged.withColumn("upto", upto).where(hit).select("r", "v").collect():
+            found[row["r"]] = row["v"]
+    return found
+
+
+def exact_quantiles(
+    df: DataFrame, col: str, probabilities: Sequence[float], max_rows: int = SELECTION_ROWS
+) -> list[float | None]:
+    """Linear-interpolated quantiles of a column, exact; nulls are ignored."""
+    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    head = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n = head["n"]
+    if n == 0:
+        return [None] * len(probabilities)
+    positions = [p * (n - 1) for p in probabilities]
+    ranks = sorted({r for x in positions for r in (int(x) + 1, min(int(x) + 2, n))})
+    at = values_at_ranks(values, ranks, n, head["lo"], head["hi"], max_rows)
+    out = []
+    for x in positions:
+        low, high = at[int(x) + 1], at[min(int(x) + 2, n)]
+        out.append(low + (high - low) * (x - int(x)))
+    return out
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum."""
-    moments = df.agg(
-        F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"), F.max(col).alias("max"),
-    ).withColumn("_one", F.lit(1))
-    quartiles = exact_quantiles(df, col, [0.25, 0.5, 0.75]).withColumn("_one", F.lit(1))
-    # Two single-row tables, joined on a constant.
-    return moments.join(quartiles, "_one").select(
-        "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max"
+    p25, p50, p75 = exact_quantiles(df, col, [0.25, 0.5, 0.75])
+    return df.agg(
+        F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
+        F.lit(p25).cast("double").alias("p25"), F.lit(p50).cast("double").alias("p50"),
+        F.lit(p75).cast("double").alias("p75"), F.max(col).alias("max"),
     )
