@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from threadloom.functions.labels import OFFTOPIC_SPELLINGS
+from threadloom.functions.labels import LABELS_THREE_WAY, OFFTOPIC_SPELLINGS, encode
 
 _RESULT = T.StructType([
     T.StructField("from_name", T.StringType()),
@@ -55,3 +55,8 @@ def has_valid_label(annotations: Column, valid: Sequence[str] = VALID_LABELS, na
         lambda r: F.coalesce((r["from_name"] == name) & _first_choice(r).isin(*valid), F.lit(False)),
     )
     return F.coalesce(found, F.lit(False))
+
+
+def invalid_labels(df: DataFrame, label: str, mapping: Mapping[str, int] = LABELS_THREE_WAY) -> DataFrame:
+    """Labels the encoding does not know, with how often they occur."""
+    return df.where(encode(F.col(label), mapping).isNull()).groupBy(label).agg(F.count("*").alias("n"))

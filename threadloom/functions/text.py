@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Bodies a moderator or author took away.
 REMOVED_BODIES = ("[deleted]", "[removed]")
@@ -14,6 +16,14 @@ WHITE_SPACE = (
 )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often it is used.
+
+    Inside a lambda function an outer expression would run for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def null_text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
@@ -109,3 +119,8 @@ def preview(col: Column, width: int = 100) -> Column:
 def words(col: Column, pattern: str = r"[\p{L}\p{N}_]{2,}") -> Column:
     """Lower-case words of two or more letters, digits or underscores."""
     return F.regexp_extract_all(F.lower(col), F.lit(pattern), F.lit(0))
+
+
+def in_list(df: DataFrame, column: str, values: Sequence[str] | None) -> DataFrame:
+    """Rows of the given categories; all rows if none are given."""
+    return df.where(F.col(column).isin(*values)) if values else df

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadloom.functions.text import bind
+
 Rules = Mapping[str, Mapping[str, Sequence[Sequence[str]]]]
 
 # All terms of a rule must occur in the lower-cased text.
@@ -87,13 +89,15 @@ def corrected_label(text: Column, label: Column, topic: Column, rules: Rules = D
     lowers any label but negative; empty text keeps its label."""
     label = F.coalesce(label, F.lit("neutral"))
     topic = F.coalesce(topic, F.lit("none"))
-    lower = F.lower(text)
-    return (
-        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, label)
-        .when((label != "positive") & _matches(lower, topic, "positive", rules), "positive")
-        .when((label != "negative") & _matches(lower, topic, "negative", rules), "negative")
-        .otherwise(label)
-    )
+
+    def fixed(lower: Column) -> Column:
+        return (
+            F.when((label != "positive") & _matches(lower, topic, "positive", rules), "positive")
+            .when((label != "negative") & _matches(lower, topic, "negative", rules), "negative")
+            .otherwise(label)
+        )
+
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, label).otherwise(bind(F.lower(text), fixed))
 
 
 def correct(

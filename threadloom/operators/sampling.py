@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -107,7 +108,7 @@ def nested_fractions(
     """
     borders = [(str(i), share_down(f)) for i, f in enumerate(fractions)]
     marked = segment_by_rank(df, order_key(*ids, seed=seed), borders, out="_from")
-    steps = F.array(*[F.lit(float(f)) for f in fractions])
+    steps = F.array(*[F.lit(float(Fraction(f))) for f in fractions])
     start = F.col("_from").cast("int") + 1
     return (
         marked.where(F.col("_from").isNotNull())
@@ -118,7 +119,5 @@ def nested_fractions(
 
 def fraction_steps(first: str, last: str, count: int) -> list[str]:
     """``count`` evenly spaced fractions as exact decimal-free text."""
-    from fractions import Fraction
-
     lo, hi = Fraction(first), Fraction(last)
     return [str(lo + (hi - lo) * i / (count - 1)) for i in range(count)]

@@ -25,7 +25,8 @@ LEXICON_SALTS = 16
 # Contributions are summed as whole units, so the order of words cannot matter.
 UNITS = 1_000_000_000
 
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+# The ASCII punctuation marks.
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 def _strengths(up: Sequence[str], down: Sequence[str], step: float = 0.293) -> dict[str, float]:
@@ -76,7 +77,7 @@ def sentiment_tokens(text: Column) -> Column:
     """
 
     def bare(token: Column) -> Column:
-        inner = F.regexp_replace(token, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")
+        inner = F.btrim(token, F.lit(PUNCTUATION))
         return F.when(F.length(inner) > 2, inner).otherwise(token)
 
     return F.transform(F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda t: F.length(t) > 0), bare)
@@ -188,17 +189,20 @@ def _score_in_row(df: DataFrame, text_col: str, lexicon: dict[str, float], out:
     groups = _by_value(lexicon)
     low = F.col("_low")
 
-    def contribution(token: Column, at: Column) -> Column:
+    def hit(token: Column, at: Column) -> Column:
+        return F.when(token.isin(sorted(lexicon)), F.struct(at.alias("at"), _sets(token, groups, 0.0).alias("value")))
+
+    def add(total: Column, word: Column) -> Column:
+        at = word["at"]
         before = [F.get(low, at - d) for d in range(1, len(scheme.damping) + 1)]
-        amount = _contribution(_sets(token, groups, 0.0), F.get(F.col("_tokens"), at), at, before, boosters, scheme)
-        return F.when(token.isin(sorted(lexicon)), amount)
+        return total + _contribution(word["value"], F.get(F.col("_tokens"), at), at, before, boosters, scheme)
 
+    # Separate columns keep each array from being built once per use.
     prepared = _prepare(df, text_col, scheme)
-    units = F.aggregate(
-        F.transform(low, contribution), F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x, F.lit(0).cast("bigint"))
-    )
-    score = _finish(units, null_text(F.col(text_col)), scheme)
-    return prepared.select(*df.columns, score.alias(out))
+    hits = prepared.withColumn("_hits", F.array_compact(F.transform(low, hit)))
+    summed = hits.withColumn("_units", F.aggregate("_hits", F.lit(0).cast("bigint"), add))
+    score = _finish(F.col("_units"), null_text(F.col(text_col)), scheme)
+    return summed.select(*df.columns, score.alias(out))
 
 
 def _score_by_join(

@@ -11,9 +11,9 @@ from threadloom.sources import dumps
 
 def load_dumps(spark: SparkSession, raw: str, store: str, top_level_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """Append all posts and comments below ``raw`` to the Parquet store."""
-    append_new(dumps.posts(spark, raw, dumps.POST_FILES), f"{store}/posts", "id", ["created_ts", "score"])
+    append_new(dumps.posts(spark, f"{raw}/{dumps.POST_DUMPS}"), f"{store}/posts", "id", ["created_ts", "score"])
     append_new(
-        dumps.comments(spark, raw, dumps.COMMENT_FILES, top_level_only), f"{store}/comments", "id", ["created_ts", "score"]
+        dumps.comments(spark, f"{raw}/{dumps.COMMENT_DUMPS}", top_level_only), f"{store}/comments", "id", ["created_ts", "score"]
     )
     return spark.read.parquet(f"{store}/posts"), spark.read.parquet(f"{store}/comments")
 

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from threadloom.functions import text as tx
 from threadloom.functions.labels import category_of
 
-# Epochs come as text or number, so they are read as text.
+# Epochs and scores come as text or number, so they are read as text.
 RAW_POST = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("subreddit", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("selftext", T.StringType()),
-    T.StructField("score", T.LongType()),
-    T.StructField("num_comments", T.LongType()),
+    T.StructField("score", T.StringType()),
+    T.StructField("num_comments", T.StringType()),
     T.StructField("created_utc", T.StringType()),
 ])
 RAW_COMMENT = T.StructType([
@@ -28,67 +28,70 @@ RAW_COMMENT = T.StructType([
     T.StructField("author", T.StringType()),
     T.StructField("subreddit", T.StringType()),
     T.StructField("body", T.StringType()),
-    T.StructField("score", T.LongType()),
+    T.StructField("score", T.StringType()),
     T.StructField("created_utc", T.StringType()),
 ])
-POST_FILES = "*_submissions*"
-COMMENT_FILES = "*_comments*"
+# A dump is a file, or a folder of files, with one of these endings.
+POST_DUMPS = "*_submissions*"
+COMMENT_DUMPS = "*_comments*"
+_DUMP = r"([^/=]+)_(submissions|comments)(\.[^/]*)?(/[^/]*)?$"
 CORRUPT = "_corrupt_record"
 
-# File names with one of these words form one data set together.
+# Data sets with one of these words in their name belong together.
 PLANT_BASED_NAMES = ("plantbaseddiet", "vegan", "vegetarian")
 PLANT_BASED_GROUP = "plantbaseddiet_combined"
 
 
-def raw_records(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, pattern: str | None = None
-) -> DataFrame:
-    """All records below ``path``; ``pattern`` filters the file names.
+def raw_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """All records below ``path``, with the path of the file they came from.
 
-    Lines that are no JSON objects stay as rows with only ``_corrupt_record``
-    set, next to the name of the file they came from.
+    Lines that are no JSON objects stay as rows with ``_corrupt_record`` set.
     """
-    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return reader.json(path).withColumn("file_name", F.col("_metadata.file_name"))
-
-
-def tolerant(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, pattern: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the quarantined lines with their file names."""
-    raw = raw_records(spark, path, schema, pattern)
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    record = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(record.alias("_record"), F.col("_metadata.file_path").alias("file_path")).select(
+        "_record.*", "file_path"
+    )
+
+
+def tolerant(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and the quarantined lines with their file paths."""
+    raw = raw_records(spark, path, schema)
     good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select("file_name", F.col(CORRUPT).alias("line"))
+    bad = raw.where(F.col(CORRUPT).isNotNull()).select("file_path", F.col(CORRUPT).alias("line"))
     return good, bad
 
 
-def posts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+def whole_number(col: Column) -> Column:
+    """A score given as number or text; text that is no number gives null."""
+    return F.coalesce(col.try_cast("bigint"), col.try_cast("double").try_cast("bigint"))
+
+
+def posts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Canonical posts; null texts become empty."""
-    raw, _ = tolerant(spark, path, RAW_POST, pattern)
+    raw, _ = tolerant(spark, path, RAW_POST)
     return raw.select(
         "id",
         "subreddit",
         tx.null_text(F.col("title")).alias("title"),
         tx.null_text(F.col("selftext")).alias("selftext"),
-        "score",
+        whole_number(F.col("score")).alias("score"),
         tx.epoch_to_timestamp(F.col("created_utc")).alias("created_ts"),
     )
 
 
-def posts_with_category(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+def posts_with_category(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Posts with escapes cleaned, comment count and category; texts may be null."""
-    raw, _ = tolerant(spark, path, RAW_POST, pattern)
+    raw, _ = tolerant(spark, path, RAW_POST)
     return raw.select(
         "id",
         "subreddit",
         "title",
         tx.clean_escapes(F.col("selftext")).alias("selftext"),
         tx.epoch_to_timestamp(F.col("created_utc")).alias("created_ts"),
-        F.col("score").try_cast("int").alias("score"),
-        F.col("num_comments").try_cast("int").alias("num_comments"),
+        whole_number(F.col("score")).try_cast("int").alias("score"),
+        whole_number(F.col("num_comments")).try_cast("int").alias("num_comments"),
         category_of(F.col("subreddit")).alias("category"),
     )
 
@@ -99,9 +102,9 @@ def is_top_level(parent_id: Column) -> Column:
 
 
 def comments(
-    spark: SparkSession, path: str | list[str], pattern: str | None = None, top_level_only: bool = True
+    spark: SparkSession, path: str | list[str], top_level_only: bool = True
 ) -> DataFrame:
-    raw, _ = tolerant(spark, path, RAW_COMMENT, pattern)
+    raw, _ = tolerant(spark, path, RAW_COMMENT)
     if top_level_only:
         raw = raw.where(is_top_level(F.col("parent_id")))
     return raw.select(
@@ -109,47 +112,43 @@ def comments(
         tx.drop_prefix3(F.col("link_id")).alias("post_id"),
         "author",
         tx.null_text(F.col("body")).alias("body"),
-        "score",
+        whole_number(F.col("score")).alias("score"),
         tx.epoch_to_timestamp(F.col("created_utc")).alias("created_ts"),
     )
 
 
-def is_post_file(name: Column) -> Column:
-    return (
-        F.endswith(name, F.lit("_submissions"))
-        & ~F.contains(name, F.lit("_comments_"))
-        & ~F.startswith(name, F.lit("."))
-        & (F.upper(name) != "README")
-    )
+def dataset_name(file_path: Column) -> Column:
+    """Name before ``_submissions`` or ``_comments``; empty for other files."""
+    return F.regexp_extract(file_path, _DUMP, 1)
 
 
-def dataset_name(file_name: Column) -> Column:
-    """File name without its ``_submissions`` or ``_comments`` ending."""
-    return F.regexp_replace(file_name, r"_(submissions|comments)$", "")
+def dump_kind(file_path: Column) -> Column:
+    """``submissions`` or ``comments``; empty for other files."""
+    return F.regexp_extract(file_path, _DUMP, 2)
 
 
-def dataset_group(file_name: Column) -> Column:
-    """Plant-based files share one group; every other file is its own."""
+def dataset_group(dataset: Column) -> Column:
+    """Plant-based data sets share one group; every other is its own."""
     plant = None
     for word in PLANT_BASED_NAMES:
-        hit = F.contains(F.lower(file_name), F.lit(word))
+        hit = F.contains(F.lower(dataset), F.lit(word))
         plant = hit if plant is None else plant | hit
-    return F.when(plant, PLANT_BASED_GROUP).otherwise(dataset_name(file_name))
+    return F.when(plant, PLANT_BASED_GROUP).otherwise(dataset)
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Post files of a folder with their comment file, group and record count.
+def dataset_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Data sets with posts: their group, record counts, and whether comments exist.
 
-    Counting lines is a job over the files; only file names are grouped.
+    Files that are no dumps, such as a README, are left out. Counting is a job
+    over the files; posts and comments pair up by data set name.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    files = lines.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("records"))
-    named = files.withColumn("dataset", dataset_name(F.col("file_name")))
-    post_files = named.where(is_post_file(F.col("file_name")))
-    comment_files = named.where(F.endswith("file_name", F.lit("_comments"))).select(
-        "dataset", F.col("file_name").alias("comments_file"), F.col("records").alias("n_comments")
+    files = lines.select(F.col("_metadata.file_path").alias("file_path")).where(dataset_name(F.col("file_path")) != "")
+    posts_here = dump_kind(F.col("file_path")) == "submissions"
+    counts = files.groupBy(dataset_name(F.col("file_path")).alias("dataset")).agg(
+        F.count(F.when(posts_here, 1)).alias("n_posts"), F.count(F.when(~posts_here, 1)).alias("n_comments")
     )
-    return post_files.join(comment_files, "dataset", "left").select(
-        "file_name", "dataset", dataset_group(F.col("file_name")).alias("dataset_group"),
-        F.col("records").alias("n_posts"), "comments_file", "n_comments",
+    return counts.where(F.col("n_posts") > 0).select(
+        "dataset", dataset_group(F.col("dataset")).alias("dataset_group"), "n_posts",
+        (F.col("n_comments") > 0).alias("has_comments"), "n_comments",
     )
