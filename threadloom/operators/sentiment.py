@@ -18,8 +18,8 @@ from threadloom.functions.labels import by_threshold
 from threadloom.functions.text import null_text
 from threadloom.session import settle
 
-# Entries up to which a lexicon is compiled into hash-set expressions.
-LITERAL_ENTRIES = 20_000
+# Rows up to which a lexicon is broadcast.
+BROADCAST_ENTRIES = 100_000
 # Copies of a bigger lexicon, so that no one task gets every use of a hot word.
 LEXICON_SALTS = 16
 # Contributions are summed as whole units, so the order of words cannot matter.
@@ -69,18 +69,22 @@ class Scheme:
 DEFAULT_SCHEME = Scheme()
 
 
-def sentiment_tokens(text: Column) -> Column:
-    """Words between white space without the punctuation around them.
+_MARKS = "[" + "".join("\\" + mark for mark in PUNCTUATION) + "]"
+_INNER = "[^" + "".join("\\" + mark for mark in PUNCTUATION) + "\\s]"
+_DRESSED = rf"(?<![^\s]){_MARKS}*({_INNER}[^\s]+{_INNER}){_MARKS}*(?![^\s])"
 
-    Where two characters or fewer would be left the token stays as it is, so
-    emoticons survive.
+
+def bare_words(text: Column) -> Column:
+    """The text with blanks for white space and no punctuation around words.
+
+    A word of two characters or fewer keeps its marks, so emoticons survive.
+    One pattern over the whole text is cheaper than one call per word.
     """
+    return F.translate(F.regexp_replace(text, _DRESSED, "$1"), "\t\n\r\f\x0b", "     ")
 
-    def bare(token: Column) -> Column:
-        inner = F.btrim(token, F.lit(PUNCTUATION))
-        return F.when(F.length(inner) > 2, inner).otherwise(token)
 
-    return F.transform(F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda t: F.length(t) > 0), bare)
+def split_words(bare: Column) -> Column:
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def _all_capitals(token: Column) -> Column:
@@ -106,18 +110,19 @@ def _by_value(mapping: Mapping[str, float]) -> dict[float, list[str]]:
     return groups
 
 
-def _prepare(df: DataFrame, text_col: str, scheme: Scheme) -> DataFrame:
-    """Adds the token arrays and per-text facts every contribution needs."""
-    text = null_text(F.col(text_col))
-    low = F.transform("_tokens", lambda t: F.lower(t))
-    places = [F.nullif(F.array_position("_low", F.lit(w)), F.lit(0).cast("bigint")) for w in scheme.contrast]
-    turn = F.least(*places) if len(places) > 1 else (places[0] if places else F.lit(None).cast("bigint"))
-    return (
-        df.withColumn("_tokens", sentiment_tokens(text))
-        .withColumn("_low", low)
-        .withColumn("_turn", turn - 1)
-        .withColumn("_mixed", F.exists("_tokens", lambda t: ~_all_capitals(t)))
-    )
+def _first_contrast(bare: Column, scheme: Scheme) -> Column:
+    """Number of words before the first contrast word; null if there is none."""
+    padded = F.concat(F.lit(" "), F.lower(bare), F.lit(" "))
+    places = [F.nullif(F.instr(padded, f" {word} "), F.lit(0)) for word in scheme.contrast]
+    if not places:
+        return F.lit(None).cast("int")
+    first = F.least(*places) if len(places) > 1 else places[0]
+    return F.size(split_words(F.left(padded, first)))
+
+
+def _mixed_case(text: Column) -> Column:
+    """True unless every word has capitals and no small letters."""
+    return F.when(text != F.upper(text), True).otherwise(F.rlike(text, F.lit(r"(?<![^\s])[^\p{Lu}\s]+(?![^\s])")))
 
 
 def _contribution(
@@ -130,7 +135,7 @@ def _contribution(
     for word, weight in zip(before, scheme.damping):
         damped = {inc * weight: members for inc, members in groups.items()}
         out = out + sign * F.when(word.isNotNull(), _sets(word, damped, 0.0)).otherwise(F.lit(0.0))
-    out = out + sign * F.when(_all_capitals(token) & F.col("_mixed"), F.lit(scheme.capitals)).otherwise(F.lit(0.0))
+    out = out + sign * F.when(F.col("_mixed") & _all_capitals(token), F.lit(scheme.capitals)).otherwise(F.lit(0.0))
     flips = None
     for word in before:
         flip = F.when(word.isin(list(scheme.negators)), 1).otherwise(0)
@@ -146,18 +151,21 @@ def _contribution(
     return F.floor(out * factor * side * float(UNITS) + 0.5).cast("bigint")
 
 
-def _finish(units: Column, text: Column, scheme: Scheme) -> Column:
-    """Punctuation emphasis and normalisation of the summed units."""
-    total = F.coalesce(units, F.lit(0)).cast("double") / float(UNITS)
-    marks = _count(text, "!")
-    loud = F.least(marks, F.lit(scheme.exclamations)) * scheme.exclamation
+def _emphasis(text: Column, scheme: Scheme) -> Column:
+    """What exclamation and question marks add to a score, whatever its sign."""
+    loud = F.least(_count(text, "!"), F.lit(scheme.exclamations)) * scheme.exclamation
     asks = _count(text, "?")
     asking = (
         F.when(asks > scheme.questions, F.lit(scheme.many_questions))
         .when(asks > 1, asks * scheme.question)
         .otherwise(F.lit(0.0))
     )
-    stressed = total + F.signum(total) * (loud + asking)
+    return loud + asking
+
+
+def _compound(units: Column, emphasis: Column, scheme: Scheme) -> Column:
+    total = F.coalesce(units, F.lit(0).cast("bigint")).cast("double") / float(UNITS)
+    stressed = total + F.signum(total) * emphasis
     return F.round(stressed / F.sqrt(stressed * stressed + scheme.alpha), 4)
 
 
@@ -167,77 +175,84 @@ def score_texts(
     lexicon: DataFrame,
     out: str = "compound",
     scheme: Scheme = DEFAULT_SCHEME,
-    ids: Sequence[str] = ("id",),
-    literal_entries: int = LITERAL_ENTRIES,
+    ids: Sequence[str] | None = None,
+    broadcast_entries: int = BROADCAST_ENTRIES,
 ) -> DataFrame:
     """Add the compound score of ``text_col``; a null text scores 0.
 
-    A lexicon of at most ``literal_entries`` rows becomes hash-set expressions:
-    every text is then scored inside its own row, without any shuffle. A bigger
-    one is joined by token, which needs ``ids`` to identify the rows.
-    """
-    rows = lexicon.select("token", F.col("valence").cast("double").alias("valence")).limit(literal_entries + 1).collect()
-    if len(rows) <= literal_entries:
-        return _score_in_row(df, text_col, {r["token"]: r["valence"] for r in rows}, out, scheme)
-    return _score_by_join(df, text_col, lexicon, out, scheme, ids)
-
-
-def _score_in_row(df: DataFrame, text_col: str, lexicon: dict[str, float], out: str, scheme: Scheme) -> DataFrame:
-    if not lexicon:
-        return df.withColumn(out, F.lit(0.0))
-    boosters = {w: v for w, v in scheme.boosters.items() if w not in lexicon}
-    groups = _by_value(lexicon)
-    low = F.col("_low")
-
-    def hit(token: Column, at: Column) -> Column:
-        return F.when(token.isin(sorted(lexicon)), F.struct(at.alias("at"), _sets(token, groups, 0.0).alias("value")))
+    Words meet the lexicon in a broadcast join, or in a salted one if it has
+    more than ``broadcast_entries`` rows. Hits are summed inside the task that
+    read the text, so one small row per text is shuffled, then joined back.
+    Select only the columns you need first: a text that is not part of the
+    result stays out of the shuffle.
 
-    def add(total: Column, word: Column) -> Column:
-        at = word["at"]
-        before = [F.get(low, at - d) for d in range(1, len(scheme.damping) + 1)]
-        return total + _contribution(word["value"], F.get(F.col("_tokens"), at), at, before, boosters, scheme)
-
-    # Separate columns keep each array from being built once per use.
-    prepared = _prepare(df, text_col, scheme)
-    hits = prepared.withColumn("_hits", F.array_compact(F.transform(low, hit)))
-    summed = hits.withColumn("_units", F.aggregate("_hits", F.lit(0).cast("bigint"), add))
-    score = _finish(F.col("_units"), null_text(F.col(text_col)), scheme)
-    return summed.select(*df.columns, score.alias(out))
+    ``ids`` must be unique; without it rows are matched by a digest of the
+    text, which holds for any number of copies.
+    """
+    text = null_text(F.col(text_col))
+    keys = [f"_key{i}" for i in range(len(ids))] if ids else ["_key0"]
+    key_values = [F.col(c) for c in ids] if ids else [F.sha2(text, 256)]
+    keyed = df.withColumns({**dict(zip(keys, key_values)), "_emphasis": _emphasis(text, scheme)})
+    sums = word_sums(keyed.select(*keys, text.alias("_text")), keys, lexicon, scheme, broadcast_entries, copies=not ids)
+    score = _compound(F.col("_units"), F.col("_emphasis"), scheme)
+    kept = [c for c in df.columns if c != out]
+    return keyed.join(sums, keys, "left").select(*kept, score.alias(out))
 
 
-def _score_by_join(
-    df: DataFrame, text_col: str, lexicon: DataFrame, out: str, scheme: Scheme, ids: Sequence[str]
+def word_sums(
+    texts: DataFrame, keys: Sequence[str], lexicon: DataFrame, scheme: Scheme, broadcast_entries: int, copies: bool
 ) -> DataFrame:
-    lexicon = settle(lexicon.select("token", F.col("valence").cast("double").alias("valence")), "lexicon")
-    known = lexicon.where(F.col("token").isin(list(scheme.boosters))).select("token").collect()
-    boosters = {w: v for w, v in scheme.boosters.items() if w not in {r["token"] for r in known}}
-    low = F.col("_low")
-    words = F.transform(
-        low,
-        lambda t, i: F.struct(
-            t.alias("token"),
-            F.get(F.col("_tokens"), i).alias("shown"),
-            i.alias("at"),
-            *[F.get(low, i - d).alias(f"before{d}") for d in range(1, len(scheme.damping) + 1)],
-        ),
+    """(keys, _units): summed contributions of each text that has a hit."""
+    lexicon = (
+        lexicon.where(F.col("token").isNotNull()).groupBy("token")
+        .agg(F.max(F.col("valence").cast("double")).alias("valence"))
     )
-    salt = F.pmod(F.xxhash64(id_text(*ids), F.col("at")), F.lit(LEXICON_SALTS).cast("bigint")).cast("int")
-    used = (
-        _prepare(df, text_col, scheme)
-        .select(*ids, "_turn", "_mixed", F.inline(words))
-        .withColumn("_salt", salt)
+    rows = lexicon.limit(broadcast_entries + 1).collect()
+    small = len(rows) <= broadcast_entries
+    if small:
+        known = {r["token"] for r in rows}
+        lexicon = texts.sparkSession.createDataFrame(rows, "token string, valence double")
+    else:
+        lexicon = settle(lexicon, "lexicon")
+        known = {r["token"] for r in lexicon.where(F.col("token").isin(list(scheme.boosters))).select("token").collect()}
+    boosters = {w: v for w, v in scheme.boosters.items() if w not in known}
+    reach = range(1, len(scheme.damping) + 1)
+
+    text, words = F.col("_text"), F.col("_words")
+    # Each word travels with the words before it, so that no row carries a whole
+    # text; the arrays reach past the end, where the outer explode gives nulls.
+    none = F.array(F.lit(None).cast("string"))
+    shifted = [F.concat(*[none] * d, words).alias(f"_before{d}") for d in reach]
+    bare = texts.select(*keys, "_text", bare_words(text).alias("_bare"))
+    split = bare.select(
+        *keys, split_words(F.col("_bare")).alias("_words"), _first_contrast(F.col("_bare"), scheme).alias("_turn"),
+        _mixed_case(text).alias("_mixed"),
     )
-    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEXICON_SALTS - 1))))
-    before = [F.col(f"before{d}") for d in range(1, len(scheme.damping) + 1)]
-    amount = _contribution(F.col("valence"), F.col("shown"), F.col("at"), before, boosters, scheme)
-    units = used.join(copies, ["token", "_salt"]).groupBy(*ids).agg(F.sum(amount).alias("_units"))
-    score = _finish(F.col("_units"), null_text(F.col(text_col)), scheme)
-    return df.join(units, list(ids), "left").select(*df.columns, score.alias(out))
+    placed = split.select(*keys, "_turn", "_mixed", F.posexplode_outer(F.arrays_zip(words, *shifted)).alias("_at", "_place"))
+    shown = placed.select(
+        *keys, "_turn", "_mixed", "_at", F.col("_place._words").alias("_shown"),
+        *[F.col(f"_place._before{d}") for d in reach],
+    ).withColumn("token", F.coalesce(F.lower("_shown"), F.lit("")))
+    if small:
+        hits = shown.join(F.broadcast(lexicon), "token")
+    else:
+        salt = F.pmod(F.xxhash64(id_text(*keys), F.col("_at")), F.lit(LEXICON_SALTS).cast("bigint")).cast("int")
+        salted = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEXICON_SALTS - 1))))
+        hits = shown.withColumn("_salt", salt).join(salted, ["token", "_salt"])
+    # The words before are looked at for hits only.
+    before = {f"_before{d}": F.lower(F.col(f"_before{d}")) for d in reach}
+    hits = hits.withColumns(before)
+    amount = _contribution(F.col("valence"), F.col("_shown"), F.col("_at"), [F.col(b) for b in before], boosters, scheme)
+    if not copies:
+        return hits.groupBy(*keys).agg(F.sum(amount).alias("_units"))
+    # Copies of a text add equal sums at every place; one of them counts.
+    per_place = hits.groupBy(*keys, "_at").agg(F.max(amount).alias("_amount"))
+    return per_place.groupBy(*keys).agg(F.sum("_amount").alias("_units"))
 
 
 def add_sentiment(
     df: DataFrame, text_col: str, lexicon: DataFrame, high: float = 0.05, low: float = -0.05,
-    scheme: Scheme = DEFAULT_SCHEME, ids: Sequence[str] = ("id",), prefix: str = "vader",
+    scheme: Scheme = DEFAULT_SCHEME, ids: Sequence[str] | None = None, prefix: str = "vader",
 ) -> DataFrame:
     """Compound score and its class, as ``<prefix>_compound`` and ``<prefix>_sentiment``."""
     scored = score_texts(df, text_col, lexicon, f"{prefix}_compound", scheme, ids)

@@ -13,41 +13,42 @@ from threadloom.operators.rules import DOMAIN_RULES, Rules, correct
 from threadloom.operators.sampling import balanced
 from threadloom.operators.sentiment import DEFAULT_SCHEME, Scheme, score_texts
 from threadloom.operators.threads import attach_children
-from threadloom.session import settle
+from threadloom.session import settle, small_side
 
 
-def scored_posts(
-    raw: DataFrame, lexicon: DataFrame, by: Sequence[str] = (), high: float = 0.5, low: float = -0.5,
-    scheme: Scheme = DEFAULT_SCHEME,
-) -> DataFrame:
-    """Raw records with text, sentiment class and topic; blank ones dropped."""
-    text = tx.combined_text(F.col("title"), F.col("selftext"), F.col("body"))
-    usable = raw.withColumn("text_content", text).where(F.length("text_content") > 0)
-    scored = score_texts(usable, "text_content", lexicon, "_compound", scheme)
-    return scored.select(
-        *by, "text_content", by_threshold(F.col("_compound"), high, low).alias("sentiment"), "subreddit",
-        topic_of(F.col("subreddit")).alias("topic"), "score", "created_utc", "id",
-        tx.record_kind(F.col("title")).alias("post_type"),
-    )
+# Sampled rows up to which the sample is broadcast to pick its texts.
+SAMPLE_ROWS = 100_000
 
 
 def balance(
     raw_posts: DataFrame, lexicon: DataFrame, raw_comments: DataFrame | None = None, target: int = 1000,
     by: Sequence[str] = (), k: int = 2, comment_order: Sequence[Column] | None = None, rules: Rules = DOMAIN_RULES,
-    scheme: Scheme = DEFAULT_SCHEME, seed: int = SEED,
+    scheme: Scheme = DEFAULT_SCHEME, high: float = 0.5, low: float = -0.5, seed: int = SEED,
 ) -> DataFrame:
-    """The full job. ``by`` balances every group (data set) on its own.
+    """The full job. ``by`` balances every group (data set) on its own; post ids are unique.
 
-    The scored posts are written once, because counts, border keys and the
-    sample all read them. Rules come last, so the result may be off balance.
+    Scores are written once, as narrow rows without text: class counts, border
+    keys and the sample all read that table. Only the sampled ids go back to
+    the posts for their texts. Rules come last, so the result may be off balance.
     """
-    scored = settle(scored_posts(raw_posts, lexicon, by, scheme=scheme), "scored")
-    sample = balanced(scored, "sentiment", ["id"], target, SENTIMENTS, by, seed)
+    text = tx.combined_text(F.col("title"), F.col("selftext"), F.col("body"))
+    usable = raw_posts.withColumn("text_content", text).where(F.length("text_content") > 0)
+    scored = score_texts(usable.select("id", *by, "text_content"), "text_content", lexicon, "_compound", scheme, ["id"])
+    narrow = settle(
+        scored.select("id", *by, by_threshold(F.col("_compound"), high, low).alias("sentiment")), "scored"
+    )
+    chosen = balanced(narrow, "sentiment", ["id"], target, SENTIMENTS, by, seed).select("id", "sentiment")
+    sample = settle(
+        usable.join(small_side(chosen, SAMPLE_ROWS), "id").select(
+            "text_content", "sentiment", "subreddit", topic_of(F.col("subreddit")).alias("topic"), "score",
+            "created_utc", "id", tx.record_kind(F.col("title")).alias("post_type"),
+        ),
+        "sample",
+    )
     if raw_comments is None:
         return correct(sample, rules=rules)
-    sample = settle(sample, "sample")
     attached = attach_children(
-        sample.drop(*by), raw_comments,
-        lambda df, text, out: score_texts(df, text, lexicon, out, scheme), k, comment_order,
+        sample, raw_comments, lambda df, column, out: score_texts(df, column, lexicon, out, scheme), k, comment_order,
+        high, low,
     )
     return correct(attached, rules=rules)

@@ -78,10 +78,16 @@ def sentiment_lexicon(spark, sf):
 @query("sentiment_lexicon_join", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
 def sentiment_lexicon_join(spark, sf):
     docs = st.table(spark, sf, "documents").select("doc_id", "text")
-    scored = score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"], literal_entries=0)
+    scored = score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"], broadcast_entries=0)
     return scored.drop("text")
 
 
+@query("sentiment_lexicon_copies", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
+def sentiment_lexicon_copies(spark, sf):
+    docs = st.table(spark, sf, "documents").select("doc_id", "text")
+    return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).drop("text")
+
+
 @query("sentiment_class", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound AS vader_compound, {class_sql('compound', 0.05, -0.05)} AS vader_sentiment FROM scores")
 def sentiment_class(spark, sf):
     docs = st.table(spark, sf, "documents").select("doc_id", "text")
