@@ -71,26 +71,26 @@ DOC_SCORES = f"{st.LEXICON}, {sentiment_ctes('documents', 'doc_id', 'text', 'sco
 
 @query("sentiment_lexicon", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
 def sentiment_lexicon(spark, sf):
-    docs = st.table(spark, sf, "documents").select("doc_id", "text")
+    docs = st.documents(spark, sf).select("doc_id", "text")
     return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"]).drop("text")
 
 
 @query("sentiment_lexicon_join", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
 def sentiment_lexicon_join(spark, sf):
-    docs = st.table(spark, sf, "documents").select("doc_id", "text")
+    docs = st.documents(spark, sf).select("doc_id", "text")
     scored = score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"], broadcast_entries=0)
     return scored.drop("text")
 
 
 @query("sentiment_lexicon_copies", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
 def sentiment_lexicon_copies(spark, sf):
-    docs = st.table(spark, sf, "documents").select("doc_id", "text")
+    docs = st.documents(spark, sf).select("doc_id", "text")
     return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).drop("text")
 
 
 @query("sentiment_class", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound AS vader_compound, {class_sql('compound', 0.05, -0.05)} AS vader_sentiment FROM scores")
 def sentiment_class(spark, sf):
-    docs = st.table(spark, sf, "documents").select("doc_id", "text")
+    docs = st.documents(spark, sf).select("doc_id", "text")
     return add_sentiment(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"]).drop("text")
 
 
@@ -129,7 +129,7 @@ RULED = f"""ruled AS (SELECT doc_id, topic, old, {corrected_sql('text', 'old', '
 
 def _ruled(spark, sf):
     label = lookup(hash_bucket("doc_id", buckets=3), {0: "positive", 1: "negative", 2: "neutral"})
-    docs = st.table(spark, sf, "documents").select(
+    docs = st.documents(spark, sf).select(
         "doc_id", "text", label.alias("sentiment"), topic_of(st.subreddit(F.col("source"))).alias("topic")
     )
     return ru.correct(docs, "text", rules=RULES, keep_old="old")

@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.hashing import SEED, hash_bucket, hash_split, order_key
 from threadloom.functions.text import words
+from threadloom.sources.tables import load_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over all cores for work on their texts."""
+    return load_table(spark, f"{sf}/documents.parquet")
+
+
 # -- SQL pieces ---------------------------------------------------------------
 
 def bucket_sql(ident: str, buckets: int, seed: str | int = SEED) -> str:
@@ -106,7 +112,7 @@ TOPIC = """CASE WHEN lower(subreddit) IN ('vegan', 'vegetarian', 'plantbaseddiet
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as raw post records; every ninth has only a title."""
     doc = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         doc.cast("string").alias("id"),
         subreddit(F.col("source")).alias("subreddit"),
         F.when(doc % 5 != 0, F.concat(F.lit("on "), F.col("lang"))).alias("title"),
@@ -151,7 +157,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text, lang, source, sentiment) of the hand-labelled documents."""
     word = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
     labels = table(spark, sf, "labels").select("doc_id", word.alias("sentiment"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf).select("doc_id", "text", "lang", "source")
     return docs.join(labels, "doc_id")
 
 

@@ -70,3 +70,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if len(rows) <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return settle(df, "lookup")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a freshly opened source over all cores.
+
+    A few unsplittable files (compressed dumps, one big row group) would leave
+    most cores idle during heavy text work. A source with at least one split
+    per core, as any big table has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

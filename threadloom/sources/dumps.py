@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from threadloom.functions import text as tx
 from threadloom.functions.labels import category_of
+from threadloom.session import spread
 
 # Epochs and scores come as text or number, so they are read as text.
 RAW_POST = T.StructType([
@@ -47,12 +48,11 @@ def raw_records(spark: SparkSession, path: str | list[str], schema: T.StructType
 
     Lines that are no JSON objects stay as rows with ``_corrupt_record`` set.
     """
-    lines = spark.read.text(path).where(F.length("value") > 0)
+    source = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    lines = spread(source).where(F.length("value") > 0)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     record = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return lines.select(record.alias("_record"), F.col("_metadata.file_path").alias("file_path")).select(
-        "_record.*", "file_path"
-    )
+    return lines.select(record.alias("_record"), "file_path").select("_record.*", "file_path")
 
 
 def tolerant(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
