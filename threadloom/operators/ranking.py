@@ -94,11 +94,16 @@ def segment_by_rank(
     )
 
     keyed = df.withColumn("_key", key)
-    keyed = keyed if strata else keyed.withColumn("_all", F.lit(1))
-    marked = _match(keyed, small_side(cuts), groups, how="left")
+    if strata:
+        marked = _match(keyed, small_side(cuts), groups, how="left")
+        keys = [F.col(f"_cut{i}") for i in range(len(borders))]
+    else:
+        only = cuts.first()
+        marked = keyed
+        keys = [F.lit(only[f"_cut{i}"] if only else None).cast("string") for i in range(len(borders))]
     label = None
-    for i, (name, _) in enumerate(borders):
-        inside = F.col("_key") <= F.col(f"_cut{i}")
+    for (name, _), cut in zip(borders, keys):
+        inside = F.col("_key") <= cut
         label = F.when(inside, F.lit(name)) if label is None else label.when(inside, F.lit(name))
     label = label.otherwise(F.lit(rest)) if rest is not None else label
     return marked.select(*df.columns, label.alias(out))

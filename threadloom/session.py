@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Rows a lookup may have before it is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 10_000
 
+_local_dirs: dict[str, str] = {}
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "threadloom") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -37,11 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="threadloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="threadloom-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
