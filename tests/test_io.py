@@ -130,3 +130,39 @@ def test_stream_scores_each_file_once(spark, tmp_path):
         run()
     run()
     assert sorted(map(tuple, spark.read.parquet(str(target)).collect())) == [("a", 1), ("aaa", 3), ("b", 1), ("bbb", 3)]
+
+
+def test_balance_job_from_dumps(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    texts = {"good": "great great great", "bad": "awful awful awful", "plain": "a table"}
+    for name in ("keto", "vegan", "vegetarian", "lonely"):
+        kinds = list(texts) if name != "lonely" else ["good"]
+        posts = [
+            {"id": f"{name}-{kind}-{i}", "subreddit": name, "title": texts[kind], "score": i, "created_utc": i}
+            for kind in kinds for i in range(4)
+        ]
+        write(raw / f"{name}_submissions", posts, bad=["oops"])
+        comments = [
+            {"id": f"{p['id']}-{j}", "link_id": f"t3_{p['id']}", "body": texts["good"], "score": str(j), "subreddit": name, "created_utc": j}
+            for p in posts for j in range(5)
+        ]
+        if name != "vegetarian":
+            write(raw / f"{name}_comments", comments)
+    lexicon = spark.createDataFrame([("great", 3.1), ("awful", -2.0)], "token string, valence double")
+    from threadloom.operators.threads import best_first
+    from threadloom.plans.balance import balance_dumps
+
+    out = str(tmp_path / "out")
+    summary = balance_dumps(spark, str(raw), out, lexicon, target=5, comment_order=best_first("id"))
+    written = spark.read.json(out)
+    posts = written.where("parent_id is null").groupBy("dataset_group", "sentiment").count().collect()
+    sizes = {(r["dataset_group"], r["sentiment"]): r["count"] for r in posts}
+    kinds = ("positive", "negative", "neutral")
+    assert sizes == {**{("keto", s): 4 for s in kinds}, **{("plantbaseddiet_combined", s): 5 for s in kinds}}
+    tops = written.where("parent_id is not null")
+    assert {r["score"] for r in tops.collect()} == {4, 3}
+    vegan = written.where("parent_id is null and subreddit = 'vegan'").count()
+    totals = {r["dataset"]: r["objects"] for r in summary.collect()}
+    assert totals["keto"] == 12 * 3 and totals["plantbaseddiet_combined"] == 15 + 2 * vegan
+    assert totals["(total)"] == totals["keto"] + totals["plantbaseddiet_combined"] and len(totals) == 3

@@ -99,3 +99,13 @@ def test_capped_keeps_input_order_and_uncapped_classes(skewed):
     for label, cap in (("positive", 70), ("neutral", 10), ("negative", None)):
         expected = sorted(i for i, c in rows if c == label)[:cap]
         assert sorted(r["id"] for r in out if r["label"] == label) == expected
+
+
+def test_big_buckets_are_divided(skewed):
+    _, df = skewed
+    cuts = [("a", share_up("0.3")), ("b", share_up("0.31")), ("c", share_up("0.9"))]
+    plain, divided = (
+        {r["id"]: r["segment"] for r in segment_by_rank(df, order_key("id"), cuts, "d", ["label"], bucket_rows=n, prefix_digits=1).collect()}
+        for n in (10**6, 3)
+    )
+    assert plain == divided and set(plain.values()) == {"a", "b", "c", "d"}

@@ -22,8 +22,7 @@ def smallest_class(df: DataFrame, label: str, classes: Sequence[str]) -> DataFra
 def distribution(df: DataFrame, *cols: str) -> DataFrame:
     """Count and share in percent of each value."""
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
-    # One row per distinct value is left here.
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", percent(F.col("n"), total))
 
 

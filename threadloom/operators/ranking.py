@@ -15,10 +15,12 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.session import small_side
+from threadloom.session import pinned, small_side
 
 # 16 ** 3 buckets per stratum: a border bucket holds 1/4096 of its stratum.
 PREFIX_DIGITS = 3
+# Rows of one bucket that one task may sort.
+BUCKET_ROWS = 1_000_000
 
 
 def integral(part: Column, whole: Column | int) -> Column:
@@ -46,6 +48,7 @@ def segment_by_rank(
     strata: Sequence[str] = (),
     out: str = "segment",
     prefix_digits: int = PREFIX_DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Label each row by the segment its rank within ``strata`` falls into.
 
@@ -61,32 +64,34 @@ def segment_by_rank(
 
     # At most 16 ** prefix_digits rows per stratum from here on.
     histogram = narrow.groupBy(*groups, "_prefix").agg(F.count("*").alias("_n"))
-    running = Window.partitionBy(*groups).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    cumulative = histogram.withColumn("_upto", F.sum("_n").over(running)).withColumn(
-        "total", F.sum("_n").over(Window.partitionBy(*groups))
-    )
+    cumulative = _cumulative(histogram, groups).withColumn("total", F.sum("_n").over(Window.partitionBy(*groups)))
     total = F.col("total")
     for i, (_, upper) in enumerate(borders):
         cumulative = cumulative.withColumn(f"_rank{i}", F.least(upper(total).cast("bigint"), total))
-    positions = cumulative.withColumn(
-        "_border",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col(f"_rank{i}").alias("rank")) for i in range(len(borders))])),
-    )
-    positions = positions.where(
-        (F.col("_border.rank") <= F.col("_upto")) & (F.col("_border.rank") > F.col("_upto") - F.col("_n"))
-    ).select(
-        *groups,
-        "_prefix",
-        F.col("_border.no").alias("_no"),
-        (F.col("_border.rank") - (F.col("_upto") - F.col("_n"))).alias("_offset"),
-    )
-    wanted = positions.groupBy(*groups, "_prefix").agg(F.collect_list(F.struct("_offset", "_no")).alias("_wanted"))
-
+    numbered = F.array(*[F.struct(F.lit(i).alias("_no"), F.col(f"_rank{i}").alias("_rank")) for i in range(len(borders))])
+    places = cumulative.select(*groups, "_prefix", "_upto", "_n", F.inline(numbered)).where(_holds_rank())
+    places, small = pinned(places.select(*groups, "_prefix", "_no", "_n", _rank_inside().alias("_rank")))
+
+    # A bucket that is still too big for one task is divided by more digits.
+    digits = prefix_digits
+    while digits < 32 and (places.agg(F.max("_n")).first()[0] or 0) > bucket_rows:
+        digits += prefix_digits
+        buckets = places.select(*groups, F.col("_prefix").alias("_outer")).distinct()
+        inner = narrow.withColumn("_outer", F.left("_key", F.lit(digits - prefix_digits)))
+        inner = _match(inner, _hinted(buckets, small), [*groups, "_outer"])
+        parts = inner.groupBy(*groups, "_outer", F.left("_key", F.lit(digits)).alias("_prefix")).agg(F.count("*").alias("_n"))
+        parts = _cumulative(parts, [*groups, "_outer"])
+        outer = places.select(*groups, F.col("_prefix").alias("_outer"), "_no", "_rank")
+        places = _match(parts, _hinted(outer, small), [*groups, "_outer"]).where(_holds_rank())
+        places, small = pinned(places.select(*groups, "_prefix", "_no", "_n", _rank_inside().alias("_rank")))
+
+    wanted = places.groupBy(*groups, "_prefix").agg(F.collect_list(F.struct("_rank", "_no")).alias("_wanted"))
     within = Window.partitionBy(*groups, "_prefix").orderBy("_key")
+    candidates = narrow.withColumn("_prefix", F.left("_key", F.lit(digits)))
     hits = (
-        _match(narrow, small_side(wanted), [*groups, "_prefix"])
-        .withColumn("_offset", F.row_number().over(within).cast("bigint"))
-        .withColumn("_hit", F.filter("_wanted", lambda w: w["_offset"] == F.col("_offset")))
+        _match(candidates, _hinted(wanted, small), [*groups, "_prefix"])
+        .withColumn("_at", F.row_number().over(within).cast("bigint"))
+        .withColumn("_hit", F.filter("_wanted", lambda w: w["_rank"] == F.col("_at")))
         .select(*groups, "_key", F.explode("_hit._no").alias("_no"))
     )
     cuts = hits.groupBy(*groups).agg(
@@ -109,6 +114,23 @@ def segment_by_rank(
     return marked.select(*df.columns, label.alias(out))
 
 
+def _cumulative(histogram: DataFrame, groups: Sequence[str]) -> DataFrame:
+    running = Window.partitionBy(*groups).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    return histogram.withColumn("_upto", F.sum("_n").over(running))
+
+
+def _holds_rank() -> Column:
+    return (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
+
+
+def _rank_inside() -> Column:
+    return F.col("_rank") - (F.col("_upto") - F.col("_n"))
+
+
+def _hinted(lookup: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(lookup) if small else lookup
+
+
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join where null keys match each other."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])

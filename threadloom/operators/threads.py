@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadloom.functions import text as tx
 from threadloom.functions.hashing import hash_split
 from threadloom.functions.labels import by_threshold, topic_of
+from threadloom.session import is_small
 
 # Order of comments in a thread: best score first, ties by age, then by id.
 BEST_FIRST = (F.desc, "score"), (F.asc, "created_ts"), (F.asc, "id")
@@ -19,7 +20,7 @@ def best_first(*ties: str) -> list[Column]:
 
 
 def top_children(
-    comments: DataFrame, k: int, parent: str = "post_id", order: Sequence[Column] | None = None
+    comments: DataFrame, k: int, parent: str = "post_id", order: Sequence[Column] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """The ``k`` best comments of each parent with their rank ``rn``.
 
@@ -27,7 +28,7 @@ def top_children(
     a parent with very many comments sends at most k rows per input partition.
     """
     order = order or [how(name) for how, name in BEST_FIRST]
-    rank = F.row_number().over(Window.partitionBy(parent).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*by, parent).orderBy(*order))
     return comments.withColumn("rn", rank).where(F.col("rn") <= k)
 
 
@@ -112,19 +113,27 @@ def attach_children(
     order: Sequence[Column] | None = None,
     high: float = 0.5,
     low: float = -0.5,
+    by: Sequence[str] = (),
+    few_posts: int = 100_000,
 ) -> DataFrame:
-    """Posts followed by their top comments as rows of the same shape.
+    """Posts and their top comments as rows of the same shape.
 
-    ``posts`` is a finished sample, so only comments of its posts are kept.
-    ``score_text(df, column, out)`` adds the sentiment score; only the k kept
-    comments of a post are scored.
+    ``posts`` is a finished sample, so only comments of its posts are kept, and
+    with ``by`` only comments of the same group. ``score_text(df, column, out)``
+    adds the sentiment score; only the k kept comments of a post are scored.
     """
-    parents = posts.select(F.concat(F.lit("t3_"), F.col("id")).alias("link_id")).distinct()
+    keys = [*by, "link_id"]
+    parents = posts.select(*by, F.concat(F.lit("t3_"), F.col("id")).alias("link_id")).distinct()
     usable = comments.where(tx.is_kept_body(F.col("body")))
-    kept = usable.join(parents, "link_id", "left_semi")
-    top = top_children(kept, k, parent="link_id", order=order)
+    if is_small(parents, few_posts):
+        kept = usable.join(F.broadcast(parents), keys, "left_semi")
+        top = top_children(kept, k, "link_id", order, by)
+    else:
+        # Ranked first, a hot thread is cut to k rows per task before any shuffle.
+        top = top_children(usable, k, "link_id", order, by).join(parents, keys, "left_semi")
     scored = score_text(top, "body", "_compound")
     rows = scored.select(
+        *by,
         F.col("body").alias("text_content"),
         by_threshold(F.col("_compound"), high, low).alias("sentiment"),
         "subreddit",

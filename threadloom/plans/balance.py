@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions.hashing import SEED
@@ -14,6 +14,8 @@ from threadloom.operators.sampling import balanced
 from threadloom.operators.sentiment import DEFAULT_SCHEME, Scheme, score_texts
 from threadloom.operators.threads import attach_children
 from threadloom.session import settle, small_side
+from threadloom.sinks.tables import run_summary
+from threadloom.sources import dumps
 
 
 # Sampled rows up to which the sample is broadcast to pick its texts.
@@ -37,10 +39,10 @@ def balance(
     narrow = settle(
         scored.select("id", *by, by_threshold(F.col("_compound"), high, low).alias("sentiment")), "scored"
     )
-    chosen = balanced(narrow, "sentiment", ["id"], target, SENTIMENTS, by, seed).select("id", "sentiment")
+    chosen = balanced(narrow, "sentiment", ["id"], target, SENTIMENTS, by, seed).select(*by, "id", "sentiment")
     sample = settle(
-        usable.join(small_side(chosen, SAMPLE_ROWS), "id").select(
-            "text_content", "sentiment", "subreddit", topic_of(F.col("subreddit")).alias("topic"), "score",
+        usable.join(small_side(chosen, SAMPLE_ROWS), [*by, "id"]).select(
+            *by, "text_content", "sentiment", "subreddit", topic_of(F.col("subreddit")).alias("topic"), "score",
             "created_utc", "id", tx.record_kind(F.col("title")).alias("post_type"),
         ),
         "sample",
@@ -49,6 +51,31 @@ def balance(
         return correct(sample, rules=rules)
     attached = attach_children(
         sample, raw_comments, lambda df, column, out: score_texts(df, column, lexicon, out, scheme), k, comment_order,
-        high, low,
+        high, low, by, SAMPLE_ROWS,
     )
     return correct(attached, rules=rules)
+
+
+def balance_dumps(
+    spark: SparkSession, raw: str, out: str, lexicon: DataFrame, target: int = 1000, include_comments: bool = True,
+    k: int = 2, comment_order: Sequence[Column] | None = None, rules: Rules = DOMAIN_RULES,
+    scheme: Scheme = DEFAULT_SCHEME, seed: int = SEED,
+) -> DataFrame:
+    """Balance every data set group below ``raw`` in one job.
+
+    Writes JSON lines below ``out``, a folder per group, and returns the
+    objects per group with a total line.
+    """
+    by = ["dataset_group"]
+    group = dumps.dataset_group(dumps.dataset_name(F.col("file_path"))).alias(by[0])
+    posts, _ = dumps.tolerant(spark, f"{raw}/{dumps.POST_DUMPS}", dumps.RAW_POST)
+    posts = posts.select("*", group, F.lit(None).cast("string").alias("body"))
+    comments = None
+    if include_comments:
+        comments, _ = dumps.tolerant(spark, f"{raw}/{dumps.COMMENT_DUMPS}", dumps.RAW_COMMENT)
+        comments = comments.select("*", group).withColumn("score", dumps.whole_number(F.col("score")))
+    posts = posts.withColumn("score", dumps.whole_number(F.col("score")))
+    objects = balance(posts, lexicon, comments, target, by, k, comment_order, rules, scheme, seed=seed)
+    objects.write.partitionBy(*by).option("ignoreNullFields", "false").json(out)
+    written = spark.read.schema(objects.schema).json(out)
+    return run_summary(written, by[0])

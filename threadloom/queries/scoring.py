@@ -10,11 +10,11 @@ from threadloom.operators import rules as ru
 from threadloom.operators.sampling import balanced
 from threadloom.operators.sentiment import Scheme, add_sentiment, score_texts
 from threadloom.operators.threads import best_first
-from threadloom.plans.balance import balance
+from threadloom.plans.balance import balance, balance_dumps
 from threadloom.plans.thread_export import export_threads, load_dumps
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
-from threadloom.queries.sources import EPOCH_SQL, write_dumps
+from threadloom.queries.sources import EPOCH_SQL, GROUP, document_dumps, write_dumps
 from threadloom.session import scratch_path, settle
 
 SCHEME = Scheme(boosters=st.BOOSTERS, negators=st.NEGATORS, contrast=st.CONTRAST)
@@ -155,30 +155,38 @@ def sample_balanced_groups(spark, sf):
     return balanced(rows, "sentiment", ["doc_id"], 25, by=["lang"]).select("doc_id", "lang", "sentiment")
 
 
-BALANCE = f"""WITH {st.LEXICON}, {st.RAW_DOCUMENTS}, {st.RAW_TURNS},
+def balance_sql(target: int, grouped: bool) -> str:
+    """The balance job word by word, over all posts or per data set group."""
+    group = GROUP if grouped else "'all'"
+    turn_group = "CASE WHEN length(id) % 2 = 0 THEN 'keto' ELSE 'paleo' END" if grouped else "'all'"
+    shown = "grp AS dataset_group, " if grouped else ""
+    return f"""WITH {st.LEXICON}, {st.RAW_DOCUMENTS}, {st.RAW_TURNS},
 texts AS (SELECT * FROM (
-  SELECT id, subreddit, score, created_utc, {st.TOPIC} AS topic,
+  SELECT id, subreddit, score, created_utc, {st.TOPIC} AS topic, {group} AS grp,
          CASE WHEN length(title) > 0 THEN 'submission' ELSE 'comment' END AS post_type,
          regexp_replace(concat_ws(' ', title, CASE WHEN regexp_matches(selftext, '\\S') AND selftext NOT IN ('[deleted]', '[removed]') THEN selftext END),
            '^\\s+|\\s+$', '', 'g') AS text_content FROM raw_documents) WHERE length(text_content) > 0),
 {sentiment_ctes('texts', 'id', 'text_content', 'post_scores')},
 scored AS (SELECT t.*, {class_sql('compound', 0.5, -0.5)} AS sentiment FROM texts t JOIN post_scores ON id = sid),
-placed AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY {st.key_sql('id')}) AS rk, count(*) OVER (PARTITION BY sentiment) AS n FROM scored),
-sample AS (SELECT * FROM placed WHERE rk <= least(100, (SELECT min(n) FROM placed)) AND (SELECT count(DISTINCT sentiment) FROM placed) = 3),
-kept AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY score DESC, id) AS rn FROM raw_turns
-  WHERE regexp_matches(coalesce(body, ''), '\\S') AND body NOT IN ('[deleted]', '[removed]') AND link_id IN (SELECT 't3_' || id FROM sample)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp, sentiment ORDER BY {st.key_sql('id')}) AS rk FROM scored),
+sizes AS (SELECT grp, min(n) AS n FROM (SELECT grp, sentiment, count(*) AS n FROM scored GROUP BY ALL) GROUP BY grp HAVING count(*) = 3),
+sample AS (SELECT p.* FROM placed p JOIN sizes s ON p.grp = s.grp WHERE rk <= least({target}, s.n)),
+turns AS (SELECT *, {turn_group} AS grp FROM raw_turns),
+kept AS (SELECT *, row_number() OVER (PARTITION BY grp, link_id ORDER BY score DESC, id) AS rn FROM turns
+  WHERE regexp_matches(coalesce(body, ''), '\\S') AND body NOT IN ('[deleted]', '[removed]')
+    AND EXISTS (SELECT 1 FROM sample WHERE 't3_' || sample.id = link_id AND sample.grp = turns.grp)),
 top AS (SELECT * FROM kept WHERE rn <= 2),
 {sentiment_ctes('top', 'id', 'body', 'turn_scores')},
 objects AS (
-  SELECT text_content, sentiment, subreddit, topic, score, created_utc, id, post_type, NULL::VARCHAR AS parent_id FROM sample
+  SELECT grp, text_content, sentiment, subreddit, topic, score, created_utc, id, post_type, NULL::VARCHAR AS parent_id FROM sample
   UNION ALL
-  SELECT body, {class_sql('compound', 0.5, -0.5)}, subreddit, 'keto', score, created_utc, id, 'comment', substr(link_id, 4)
+  SELECT grp, body, {class_sql('compound', 0.5, -0.5)}, subreddit, 'keto', score, created_utc, id, 'comment', substr(link_id, 4)
   FROM top JOIN turn_scores ON id = sid)
-SELECT text_content, subreddit, topic, score, created_utc, id, post_type, parent_id,
+SELECT {shown}text_content, subreddit, topic, score, created_utc, id, post_type, parent_id,
        {corrected_sql('text_content', 'sentiment', 'topic')} AS sentiment FROM objects"""
 
 
-@query("balance_job", BALANCE)
+@query("balance_job", balance_sql(100, grouped=False))
 def balance_job(spark, sf):
     words = settle(st.lexicon(spark, sf), "lexicon")
     return balance(
@@ -187,6 +195,17 @@ def balance_job(spark, sf):
     )
 
 
+@query("balance_dumps_job", balance_sql(20, grouped=True))
+def balance_dumps_job(spark, sf):
+    out = scratch_path(spark, "balanced")
+    balance_dumps(
+        spark, document_dumps(spark, sf), out, settle(st.lexicon(spark, sf), "lexicon"), target=20,
+        comment_order=best_first("id"), rules=RULES, scheme=SCHEME,
+    )
+    columns = "text_content string, subreddit string, topic string, score long, created_utc string, id string, post_type string, "
+    return spark.read.schema(columns + "parent_id string, sentiment string, dataset_group string").json(out)
+
+
 @query("thread_export_job", f"""WITH {st.POSTS}, {st.COMMENTS},
 stored AS (SELECT DISTINCT id, post_id, coalesce(body, '') AS body, floor(score)::BIGINT AS score,
   {EPOCH_SQL.format('post_id::BIGINT')} AS created_ts FROM comments WHERE parent_id LIKE 't3_%'),

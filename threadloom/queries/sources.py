@@ -78,15 +78,15 @@ def src_tolerant_ndjson(spark, sf):
     )
 
 
-def _document_dumps(spark, sf) -> str:
+def document_dumps(spark, sf) -> str:
     """Documents as post dumps, one per subreddit; turns as comments of two of them."""
     raw = scratch_path(spark, "raw")
     docs = st.raw_documents(spark, sf).withColumn("dump", F.concat("subreddit", F.lit("_submissions")))
-    docs.write.partitionBy("dump").json(f"{raw}/posts")
+    docs.write.partitionBy("dump").json(raw)
     turns = st.raw_turns(spark, sf).withColumn(
         "dump", F.concat(F.when(F.length("id") % 2 == 0, "keto").otherwise("paleo"), F.lit("_comments"))
     )
-    turns.write.partitionBy("dump").json(f"{raw}/comments")
+    turns.write.mode("append").partitionBy("dump").json(raw)
     return raw
 
 
@@ -94,16 +94,15 @@ GROUP = """CASE WHEN lower(subreddit) IN ('vegan', 'vegetarian', 'plantbaseddiet
 
 
 @query("src_file_inventory", f"""WITH {st.RAW_DOCUMENTS}, {st.RAW_TURNS},
-turns AS (SELECT CASE WHEN length(id) % 2 = 0 THEN 'keto' ELSE 'paleo' END AS dataset, count(*) AS n FROM raw_turns GROUP BY 1),
-found AS (SELECT subreddit AS dataset, {GROUP} AS dataset_group, count(*) AS n_posts FROM raw_documents GROUP BY ALL)
-SELECT f.*, coalesce(n, 0) > 0 AS has_comments, coalesce(n, 0) AS n_comments FROM found f LEFT JOIN turns USING (dataset)""")
+turns AS (SELECT DISTINCT CASE WHEN length(id) % 2 = 0 THEN 'keto' ELSE 'paleo' END AS dataset FROM raw_turns)
+SELECT DISTINCT subreddit AS dataset, {GROUP} AS dataset_group, subreddit IN (SELECT dataset FROM turns) AS has_comments FROM raw_documents""")
 def src_file_inventory(spark, sf):
-    return dumps.dataset_inventory(spark, _document_dumps(spark, sf))
+    return dumps.dataset_inventory(spark, document_dumps(spark, sf)).drop("n_post_files")
 
 
 @query("src_dataset_groups", f"WITH {st.RAW_DOCUMENTS} SELECT id, subreddit AS dataset, {GROUP} AS dataset_group FROM raw_documents")
 def src_dataset_groups(spark, sf):
-    raw = dumps.raw_records(spark, f"{_document_dumps(spark, sf)}/posts/*", dumps.RAW_POST)
+    raw = dumps.raw_records(spark, f"{document_dumps(spark, sf)}/{dumps.POST_DUMPS}", dumps.RAW_POST)
     dataset = dumps.dataset_name(F.col("file_path"))
     return raw.select("id", dataset.alias("dataset"), dumps.dataset_group(dataset).alias("dataset_group"))
 

@@ -61,16 +61,27 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast lookup if it has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; counts no further."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` computed once, and whether it has at most ``max_rows`` rows.
 
-    The size is measured, not assumed: at most ``max_rows + 1`` rows reach the
-    driver. A bigger table is settled instead and joined by shuffle.
+    A small table is kept as literal rows, at most ``max_rows + 1`` of which
+    reach the driver; a bigger one is settled.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return settle(df, "lookup")
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return settle(df, "lookup"), False
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcast lookup if it is small; a bigger one joins by shuffle."""
+    table, small = pinned(df, max_rows)
+    return F.broadcast(table) if small else table
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -137,18 +137,18 @@ def dataset_group(dataset: Column) -> Column:
 
 
 def dataset_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Data sets with posts: their group, record counts, and whether comments exist.
+    """Data sets with posts: their group, number of files, and whether comments exist.
 
-    Files that are no dumps, such as a README, are left out. Counting is a job
-    over the files; posts and comments pair up by data set name.
+    Only the file listing is read. Files that are no dumps, such as a README,
+    are left out; posts and comments pair up by data set name.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    files = lines.select(F.col("_metadata.file_path").alias("file_path")).where(dataset_name(F.col("file_path")) != "")
-    posts_here = dump_kind(F.col("file_path")) == "submissions"
-    counts = files.groupBy(dataset_name(F.col("file_path")).alias("dataset")).agg(
-        F.count(F.when(posts_here, 1)).alias("n_posts"), F.count(F.when(~posts_here, 1)).alias("n_comments")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    dumps = files.select(dataset_name(F.col("path")).alias("dataset"), dump_kind(F.col("path")).alias("kind"))
+    counts = dumps.where(F.col("dataset") != "").groupBy("dataset").agg(
+        F.count(F.when(F.col("kind") == "submissions", 1)).alias("n_post_files"),
+        F.count(F.when(F.col("kind") == "comments", 1)).alias("n_comment_files"),
     )
-    return counts.where(F.col("n_posts") > 0).select(
-        "dataset", dataset_group(F.col("dataset")).alias("dataset_group"), "n_posts",
-        (F.col("n_comments") > 0).alias("has_comments"), "n_comments",
+    return counts.where(F.col("n_post_files") > 0).select(
+        "dataset", dataset_group(F.col("dataset")).alias("dataset_group"), "n_post_files",
+        (F.col("n_comment_files") > 0).alias("has_comments"),
     )

@@ -43,11 +43,8 @@ def canonical_columns(
 
 def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, encoding) per file: UTF-8 if every line is valid, else ISO-8859-1."""
-    # ISO-8859-1 maps each byte to one character and back, so the bytes survive.
-    lines = spark.read.option("encoding", "ISO-8859-1").schema("value string").csv(
-        path, sep="\u0000", quote="", escape="", maxColumns=2
-    )
-    valid = F.is_valid_utf8(F.encode("value", "ISO-8859-1"))
+    lines = spark.read.text(path)
+    valid = F.is_valid_utf8("value")
     return lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
         F.when(F.min(F.coalesce(valid, F.lit(True))), "UTF-8").otherwise("ISO-8859-1").alias("encoding")
     )
