@@ -100,14 +100,15 @@ def folds(df: DataFrame, ids: Sequence[str], k: int, strata: Sequence[str] = (),
 
 
 def nested_fractions(
-    df: DataFrame, ids: Sequence[str], fractions: Sequence[str], seed: int = SEED
+    df: DataFrame, ids: Sequence[str], fractions: Sequence[str], strata: Sequence[str] = (), seed: int = SEED
 ) -> DataFrame:
     """One copy of a row for every fraction whose subset holds it.
 
-    Subsets are nested: the first floor(f * n) rows of one random order.
+    Subsets are nested: the first floor(f * n) rows of one random order, or of
+    each stratum's order.
     """
     borders = [(str(i), share_down(f)) for i, f in enumerate(fractions)]
-    marked = segment_by_rank(df, order_key(*ids, seed=seed), borders, out="_from")
+    marked = segment_by_rank(df, order_key(*ids, seed=seed), borders, strata=strata, out="_from")
     steps = F.array(*[F.lit(float(Fraction(f))) for f in fractions])
     start = F.col("_from").cast("int") + 1
     return (

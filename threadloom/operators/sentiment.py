@@ -117,7 +117,7 @@ def _first_contrast(bare: Column, scheme: Scheme) -> Column:
     if not places:
         return F.lit(None).cast("int")
     first = F.least(*places) if len(places) > 1 else places[0]
-    return F.size(split_words(F.left(padded, first)))
+    return F.when(first.isNotNull(), F.size(split_words(F.left(padded, first))))
 
 
 def _mixed_case(text: Column) -> Column:

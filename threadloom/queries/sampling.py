@@ -30,6 +30,11 @@ def shuffle_order(spark, sf):
     return sm.shuffled(st.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
 
+@query("shuffle_head", f"WITH {st.LABELLED} SELECT doc_id, sentiment FROM labelled ORDER BY {KEY} LIMIT 100")
+def shuffle_head(spark, sf):
+    return sm.shuffled(_rows(spark, sf).drop("lang"), ["doc_id"], limit=100)
+
+
 @query("sample_balanced", f"""WITH {BY_CLASS} SELECT doc_id, sentiment FROM placed
 WHERE rk <= least(40, (SELECT min(n) FROM placed)) AND (SELECT count(DISTINCT sentiment) FROM placed) = 3""")
 def sample_balanced(spark, sf):

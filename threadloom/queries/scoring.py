@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.hashing import hash_bucket
 from threadloom.functions.labels import lookup, topic_of
+from threadloom.functions.text import drop_prefix3
 from threadloom.operators import rules as ru
 from threadloom.operators.sampling import balanced
 from threadloom.operators.sentiment import Scheme, add_sentiment, score_texts
-from threadloom.operators.threads import best_first
+from threadloom.operators.threads import best_first, inline_thread_texts
 from threadloom.plans.balance import balance, balance_dumps
 from threadloom.plans.thread_export import export_threads, load_dumps
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
 from threadloom.queries.sources import EPOCH_SQL, GROUP, document_dumps, write_dumps
 from threadloom.session import scratch_path, settle
+from threadloom.sinks.tables import write_parquet
 
 SCHEME = Scheme(boosters=st.BOOSTERS, negators=st.NEGATORS, contrast=st.CONTRAST)
 
@@ -206,6 +208,27 @@ def balance_dumps_job(spark, sf):
     return spark.read.schema(columns + "parent_id string, sentiment string, dataset_group string").json(out)
 
 
+# Texts of a view, scored in a second view, written with a folder per split.
+@query("scored_threads_by_split", f"""WITH {st.LEXICON}, {st.RAW_DOCUMENTS}, {st.RAW_TURNS},
+ranked AS (SELECT substr(link_id, 4) AS post_id, body, row_number() OVER (PARTITION BY link_id ORDER BY score DESC, id) AS rn FROM raw_turns),
+children AS (SELECT post_id, string_agg(body, ' ' ORDER BY rn) AS children FROM ranked WHERE rn <= 3 GROUP BY post_id),
+train_text AS (SELECT p.id, p.subreddit AS category, p.title || ' ' || p.selftext || ' ' || coalesce(c.children, '') AS text, p.score,
+  p.created_utc AS created_ts, {st.split_sql('p.id')} AS split
+  FROM raw_documents p LEFT JOIN children c ON p.id = c.post_id WHERE p.selftext IS NOT NULL),
+{sentiment_ctes('train_text', 'id', 'text', 'scores')}
+SELECT t.*, compound AS vader, {class_sql('compound', 0.05, -0.05)} AS vader_label FROM train_text t JOIN scores ON id = sid
+WHERE split <> 'train'""")
+def scored_threads_by_split(spark, sf):
+    posts = st.raw_documents(spark, sf).withColumnsRenamed({"subreddit": "category", "created_utc": "created_ts"}).drop("body")
+    turns = st.raw_turns(spark, sf).withColumn("post_id", drop_prefix3(F.col("link_id")))
+    inline_thread_texts(posts, turns, 3, best_first("id")).createOrReplaceTempView("train_text")
+    scored = add_sentiment(spark.table("train_text"), "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["id"])
+    scored.withColumnsRenamed({"vader_compound": "vader", "vader_sentiment": "vader_label"}).createOrReplaceTempView("train_vader")
+    path = scratch_path(spark, "train_vader")
+    write_parquet(spark.table("train_vader"), path, ["split"])
+    return spark.read.parquet(path).where(F.col("split") != "train")
+
+
 @query("thread_export_job", f"""WITH {st.POSTS}, {st.COMMENTS},
 stored AS (SELECT DISTINCT id, post_id, coalesce(body, '') AS body, floor(score)::BIGINT AS score,
   {EPOCH_SQL.format('post_id::BIGINT')} AS created_ts FROM comments WHERE parent_id LIKE 't3_%'),
