@@ -59,6 +59,11 @@ def test_text_stays_out_of_the_sentiment_shuffle(spark):
             assert "text" not in line
 
 
+def test_scored_texts_are_not_sorted(spark):
+    plan = plan_of(queries.RUNS["sentiment_class"](spark, SF))
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
 def test_tokens_are_built_once(spark):
     docs = st.table(spark, SF, "documents").select(ft.terms(F.col("text")).alias("t"))
     assert plan_of(ft.top_terms(docs, "t", 10)).count("regexp_extract_all") == 1

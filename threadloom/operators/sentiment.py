@@ -196,7 +196,8 @@ def score_texts(
     sums = word_sums(keyed.select(*keys, text.alias("_text")), keys, lexicon, scheme, broadcast_entries, copies=not ids)
     score = _compound(F.col("_units"), F.col("_emphasis"), scheme)
     kept = [c for c in df.columns if c != out]
-    return keyed.join(sums, keys, "left").select(*kept, score.alias(out))
+    # The sums are a few bytes per text, so they are hashed; wide rows need no sort.
+    return keyed.join(sums.hint("shuffle_hash"), keys, "left").select(*kept, score.alias(out))
 
 
 def word_sums(
