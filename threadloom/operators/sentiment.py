@@ -186,8 +186,9 @@ def score_texts(
     Select only the columns you need first: a text that is not part of the
     result stays out of the shuffle.
 
-    ``ids`` must be unique; without it rows are matched by a digest of the
-    text, which holds for any number of copies.
+    ``ids`` must be unique and not null; without it rows are matched by a digest
+    of the text, which holds for any number of copies. ``df`` is read twice, so
+    settle it first if it is the result of an expensive join.
     """
     text = null_text(F.col(text_col))
     keys = [f"_key{i}" for i in range(len(ids))] if ids else ["_key0"]
