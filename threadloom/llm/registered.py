@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import quality_rules
+from threadloom.llm import fingerprints, packing, pii, quality_rules, simhash
 from threadloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.reported(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *[c for c in found.columns if c != "doc"])
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_pii": op8_pii,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 # Hash functions, models and packings of the operators have no SQL twin; tests/llm holds them against plain versions.
 ORACLES: dict[str, str] = {}
