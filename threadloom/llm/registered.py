@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import fingerprints, packing, pii, quality_rules, simhash
+from threadloom.llm import bpe, fingerprints, packing, pii, quality_rules, simhash
 from threadloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.reported(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc.doc_id").alias("doc_id"), *[c for c in found.columns if c != "doc"])
@@ -44,6 +48,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
