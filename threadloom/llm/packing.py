@@ -14,18 +14,21 @@ takes the remainder. Repeated rows are packed one by one.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.common import whole_text
-from threadloom.llm.words import Bounded, public_path
+from threadloom.llm.words import Bounded, byte_letters, public_path, public_pattern
 from threadloom.session import settle
 
 SEQUENCE = 2048
@@ -38,50 +41,51 @@ ITEMS_PER_ROUND = 200_000
 FAN_IN = 8
 # Open rows that a task of an upper level gets at most.
 ROWS_PER_TASK = 1_000_000
-CACHED_PARTS = 400_000
+CACHED_PARTS = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Unsplit(ValueError):
-    """White space that the quick way of splitting would part wrongly."""
+class Irregular(ValueError):
+    """White space that must not be cut off from its surroundings."""
 
 
 class Encoder:
     """Token ids as bytes, by parts that the vocabulary's own splitting never joins.
 
     A space before a word and a line end between words always start a part, so
-    texts are cut there and the ids of frequent parts are remembered. Texts with
-    other runs of white space are given to the tokenizer whole.
+    texts are cut there and the ids of parts are remembered. Texts with special
+    tokens or other runs of white space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = list(self.tokenizer.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        special = {t["content"]: t["id"] for t in content["added_tokens"]}
+        letters = byte_letters()
+        ranks = {
+            bytes(letters[c] for c in token): at for token, at in content["model"]["vocab"].items() if token not in special
+        }
+        self.bpe = tiktoken.Encoding("byte level", pat_str=public_pattern(), mergeable_ranks=ranks, special_tokens=special)
+        self.special = list(special)
         self.parts = Bounded(self.encode_part, CACHED_PARTS)
 
-    def encode_whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
     def encode_part(self, part: str) -> bytes:
         inner = part[1:] if part[:1] == " " else part
         if part != "\n" and (not inner or inner[0].isspace() or inner[-1].isspace()):
-            raise Unsplit
-        return self.encode_whole(part)
+            raise Irregular
+        return array("I", self.bpe.encode_ordinary(part)).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "\0" in text or any(str(t.content) in text for t in self.special):
-            return self.encode_whole(text)
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        try:
-            return b"".join(map(self.parts.__getitem__, parts))
-        except Unsplit:
-            return self.encode_whole(text)
+        if "\0" not in text and not any(s in text for s in self.special):
+            try:
+                parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                return b"".join(map(self.parts.__getitem__, parts))
+            except Irregular:
+                pass
+        return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
 
 
 @cache
