@@ -75,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges may repeat, run either way or join a node to itself; null ends don't count.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null")
+    edges = settle(edges.select("a", "b").where("a is not null and b is not null"), "edges")
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     edges = settle(edges.where("a <> b").mapInArrow(contract_tasks, "a long, b long"), "edges")
     before = state(edges)
