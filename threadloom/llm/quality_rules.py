@@ -108,9 +108,11 @@ def log_ratios(
     """One row ``ratios``: by bucket, ``log(trusted / raw)`` of the smoothed multinomials.
 
     Counts cover every n-gram of every document. Documents meet the trusted ids
-    once, hashed by id; counts are summed per task before they are shuffled.
+    once, hashed by id at any size; counts are summed per task before they are
+    shuffled.
     """
     ids = trusted_ids.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
+    ids = ids.hint("shuffle_hash")
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     marked = marked.select("text", F.col("trusted_id").isNotNull().cast("long").alias("trusted"))
     counts = (
@@ -165,4 +167,7 @@ def judged(
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    return unpacked(judged(docs, trusted_ids, **options).where("kept"), docs.columns)
+    # The row number is there to hold the filter above the verdict: pushed below it, the filter would state the
+    # verdict's expressions inside each other, and compute them for every word.
+    df = judged(docs, trusted_ids, **options).withColumn("row", F.monotonically_increasing_id())
+    return unpacked(df.where("kept and row >= 0"), docs.columns)
