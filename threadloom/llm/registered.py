@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, fingerprints, language, packing, pii, quality_model, quality_rules, secret_scan, simhash
+from threadloom.llm import bpe, fingerprints, language, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, simhash
 from threadloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identified(docs, language.learned(docs))
@@ -62,6 +66,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
