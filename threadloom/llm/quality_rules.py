@@ -1,9 +1,11 @@
 """Quality rules by a log-likelihood ratio of hashed n-grams, DataFrame functions only.
 
-Two multinomials over hashed word unigrams and bigrams are counted, one over
-the trusted documents, one over the whole raw corpus. A document's score is the
-mean of ``log(trusted / raw)`` over its n-grams, so it doesn't depend on its
-length, and every document at or above a fixed threshold stays. Base rules turn
+Two multinomials over hashed n-grams are counted, one over the trusted
+documents, one over the whole raw corpus. The n-grams are words and the three
+characters at either end of each, which tell prose from lists, shouting and
+signs in any language and are frequent in small corpora too. A document's score is the mean of ``log(trusted / raw)`` over its
+n-grams, so it doesn't depend on its length, and every document at or above a
+fixed threshold stays. Base rules turn
 down documents that are too short or repeat themselves.
 
 Null and empty texts have no words: all counts are 0, the score is 0 and the
@@ -25,13 +27,14 @@ from threadloom.session import settle
 OTHER_BLANKS = "\t\n\x0b\x0c\r"
 # Hash buckets of the n-grams; bounds the table of ratios that each task holds.
 BUCKETS = 1 << 16
-# Pseudo-counts of each bucket in both multinomials.
-SMOOTHING = 1.0
+# What is added to each bucket's counts.
+SMOOTHING = 4.0
 # Mean log ratio from which a document stays.
-THRESHOLD = -0.1
+THRESHOLD = -0.5
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
+EDGE = 3
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -102,14 +105,23 @@ def measures(df: DataFrame) -> DataFrame:
     )
 
 
+def ngrams() -> Column:
+    """All n-grams of ``with_words``: each word, and the characters at its start and at its end."""
+    edge = lambda cut, mark: F.transform("words", lambda w: F.xxhash64(cut(w, F.lit(EDGE)), F.lit(mark)))
+    return F.concat("h", edge(F.left, 1), edge(F.right, 2))
+
+
 def log_ratios(
     docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
 ) -> DataFrame:
     """One row ``ratios``: by bucket, ``log(trusted / raw)`` of the smoothed multinomials.
 
-    Counts cover every n-gram of every document. Documents meet the trusted ids
-    once, hashed by id at any size; counts are summed per task before they are
-    shuffled.
+    Counts cover every n-gram of every document. Raw counts leave one occurrence
+    out, the one that is scored, and both counts are smoothed towards the same
+    rate: what occurs only once is worth nothing, so that rare words of a document
+    that nobody has looked at don't speak against it.
+    Documents meet the trusted ids once, hashed by id at any size; counts are
+    summed per task before they are shuffled.
     """
     ids = trusted_ids.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     ids = ids.hint("shuffle_hash")
@@ -117,27 +129,21 @@ def log_ratios(
     marked = marked.select("text", F.col("trusted_id").isNotNull().cast("long").alias("trusted"))
     counts = (
         with_words(marked)
-        .select(F.col("doc.trusted").alias("trusted"), F.explode(F.concat("h", "h2")).alias("ngram"))
+        .select(F.col("doc.trusted").alias("trusted"), F.explode(ngrams()).alias("ngram"))
         .groupBy(bucket_of(F.col("ngram"), buckets).alias("bucket"))
         .agg(F.sum("trusted").alias("trusted"), F.count("*").alias("raw"))
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select(
-        "bucket",
-        (F.coalesce("trusted", F.lit(0)) + smoothing).alias("trusted"),
-        (F.coalesce("raw", F.lit(0)) + smoothing).alias("raw"),
+        "bucket", F.coalesce("trusted", F.lit(0)).alias("trusted"), F.coalesce("raw", F.lit(0)).alias("raw")
     )
     # One array of ``buckets`` numbers, whatever the corpus.
     sums = filled.agg(
-        F.sum("trusted").alias("t"),
-        F.sum("raw").alias("r"),
+        F.when(F.sum("trusted") > 0, F.sum("raw") / F.sum("trusted")).alias("scale"),
         F.sort_array(F.collect_list(F.struct("bucket", "trusted", "raw"))).alias("rows"),
     )
-    return sums.select(
-        F.transform(
-            "rows", lambda x: F.log(x["trusted"]) - F.log(F.col("t")) - F.log(x["raw"]) + F.log(F.col("r"))
-        ).alias("ratios")
-    )
+    ratio = lambda x: (x["trusted"] * F.col("scale") + smoothing) / (F.greatest(x["raw"] - 1, F.lit(0)) + smoothing)
+    return sums.select(F.transform("rows", lambda x: F.coalesce(F.log(ratio(x)), F.lit(0.0))).alias("ratios"))
 
 
 def judged(
@@ -150,16 +156,14 @@ def judged(
     """``doc`` (all columns), the base counts, ``base_failed``, ``llr`` and ``kept``.
 
     The table of ratios is made first, from all documents; then every document
-    is scored where it was read, without a shuffle.
+    is scored where it was read, without a shuffle. Write the result before you
+    filter it by its columns, as ``keep_good`` explains.
     """
     ratios = settle(log_ratios(docs, trusted_ids, buckets, smoothing), "ratios")
     df = measures(with_words(docs)).withColumn("ratios", ratios.scalar())
-    total = F.aggregate(
-        F.concat("h", "h2"), F.lit(0.0), lambda s, x: s + F.get(F.col("ratios"), bucket_of(x, buckets))
-    )
-    return df.withColumn(
-        "llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))).otherwise(F.lit(0.0))
-    ).select(
+    total = F.aggregate(ngrams(), F.lit(0.0), lambda s, x: s + F.get(F.col("ratios"), bucket_of(x, buckets)))
+    mean = total / (3 * F.col("n_words"))
+    return df.withColumn("llr", F.when(F.col("n_words") > 0, mean).otherwise(F.lit(0.0))).select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr",
         (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"),
     )
