@@ -39,6 +39,8 @@ SLACK = 4
 # Items that one task packs at a time; what they leave open joins the next ones.
 ITEMS_PER_ROUND = 200_000
 FAN_IN = 8
+# Pieces that a task of the first level packs.
+PIECES_PER_LEAF = 50_000
 # Open rows that a task of an upper level gets at most.
 ROWS_PER_TASK = 1_000_000
 CACHED_PARTS = 250_000
@@ -190,7 +192,7 @@ def packed(
 ) -> DataFrame:
     """All pieces with their ``sequence_id`` and ``offset``.
 
-    Levels shrink by ``FAN_IN`` tasks each, but never so far that a task gets
+    Leaves take ``PIECES_PER_LEAF`` pieces. Levels shrink by ``FAN_IN`` tasks each, but never so far that a task gets
     more than ``ROWS_PER_TASK`` open rows; there the tree ends, with every bin
     emitted as it is. ``slack`` is the first level's and doubles twice a level.
     """
@@ -198,7 +200,8 @@ def packed(
     rows = pieces.select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("open")
     )
-    tasks, level, done = rows.rdd.getNumPartitions(), 0, []
+    tasks, level, done = -(-pieces.count() // PIECES_PER_LEAF) or 1, 0, []
+    rows = rows.repartition(tasks)
     while True:
         packed_rows = settle(rows.mapInPandas(pack_tasks(size, slack << 2 * level, level), PACKED), "packed")
         done.append(packed_rows)
