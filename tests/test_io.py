@@ -100,15 +100,18 @@ def test_task_files(spark, tmp_path):
         assert out.schema.names == TASK_SCHEMA.names and out.count() == 3
 
 
-def test_json_array_is_whole_and_bounded(spark, tmp_path):
+def test_json_array_is_whole(spark, tmp_path):
     df = spark.createDataFrame([("1", "é", None), ("2", "b", "c")], "id string, text string, diet string")
     sk.write_json_array(df, str(tmp_path / "tasks"))
     content = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "tasks").glob("part-*")))
     assert sorted(json.loads(content), key=lambda r: r["id"]) == [
         {"id": "1", "text": "é", "diet": None}, {"id": "2", "text": "b", "diet": "c"}
     ]
-    with pytest.raises(ValueError):
-        sk.write_json_array(df, str(tmp_path / "more"), max_rows=1)
+    sk.write_json_array(spark.range(12_000).repartition(7), str(tmp_path / "more"))
+    content = "".join(p.read_text() for p in (tmp_path / "more").glob("part-*"))
+    assert sorted(r["id"] for r in json.loads(content)) == list(range(12_000))
+    sk.write_json_array(df.where("false"), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))) == []
 
 
 def test_append_keeps_the_newest_copy(spark, tmp_path):
@@ -119,6 +122,15 @@ def test_append_keeps_the_newest_copy(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 3), ("b", 2)]
 
 
+def test_rows_without_a_key_are_not_stored(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3), ("b", 2)], "id string, v int")
+    for _ in range(3):
+        sk.append_new(df, path, "id", ["v"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 3), ("b", 2)]
+    assert sk.without_key(df, "id").count() == 2
+
+
 def test_stream_scores_each_file_once(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()

@@ -7,8 +7,6 @@ import check
 from threadloom import queries
 
 SF = "/root/testdata/sf0.001"
-# Fitted models have no SQL twin; their content is tested in test_models.py.
-NO_SQL = {"clf_logreg", "clf_mlp", "score_with_model", "sweep_vocab", "curve_scores", "adapt_refit", "adapt_weighted"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +15,7 @@ def con():
 
 
 def test_registry_is_complete():
-    assert set(queries.RUNS) - set(queries.SQL) == NO_SQL
+    assert set(queries.RUNS) == set(queries.SQL)
     assert __spark_entry__.queries().keys() >= queries.RUNS.keys()
 
 

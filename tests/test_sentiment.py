@@ -62,11 +62,11 @@ def texts():
     return FIXED + made
 
 
-@pytest.mark.parametrize("ids, entries", [(["id"], 100), (["id"], 2), (None, 100), (None, 2)])
-def test_scores(spark, texts, ids, entries):
+@pytest.mark.parametrize("entries", [100, 2])
+def test_scores(spark, texts, entries):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
     lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
-    got = {r["id"]: r["compound"] for r in score_texts(df, "text", lexicon, ids=ids, broadcast_entries=entries).collect()}
+    got = {r["id"]: r["compound"] for r in score_texts(df, "text", lexicon, broadcast_entries=entries).collect()}
     assert got == {i: pytest.approx(by_hand(t), abs=1e-4) for i, t in enumerate(texts)}
 
 
@@ -78,6 +78,17 @@ def test_copies_of_a_text_score_the_same(spark):
     assert {(r["vader_compound"], r["vader_sentiment"]) for r in out.collect()} == {(by_hand("very good, not bad!"), "positive")}
 
 
+def test_repeated_and_missing_ids_score_row_by_row(spark, texts):
+    rows = [(None if i % 4 == 0 else i % 3, t) for i, t in enumerate(texts[:60])]
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    for entries in (100, 2):
+        out = score_texts(spark.createDataFrame(rows, "id long, text string"), "text", lexicon, broadcast_entries=entries)
+        got = sorted((str(r["id"]), str(r["text"]), r["compound"]) for r in out.collect())
+        expected = sorted((str(i), str(t), round(by_hand(t), 4)) for i, t in rows)
+        assert [r[:2] for r in got] == [r[:2] for r in expected]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in expected], abs=1e-4)
+
+
 P, N = "ketosis", "stalled"
 
 

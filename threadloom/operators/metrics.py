@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Classes up to which a dense confusion matrix makes sense.
-MATRIX_CLASSES = 1_000
-
 
 def _ratio(part: Column, whole: Column) -> Column:
     """part / whole, and 0 for an empty whole."""
@@ -21,8 +18,6 @@ def confusion_counts(df: DataFrame, label: str, prediction: str, by: Sequence[st
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:
     """Count of every (label, prediction) pair of ``classes``, zeros kept."""
-    if len(classes) > MATRIX_CLASSES:
-        raise ValueError("too many classes for a dense matrix; use confusion_counts")
     kind = df.schema[label].dataType
     row = df.sparkSession.createDataFrame([(c,) for c in classes], ["label"]).withColumn("label", F.col("label").cast(kind))
     grid = row.withColumn("prediction", F.explode(F.array(*[F.lit(c).cast(kind) for c in classes])))

@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from threadloom.functions.labels import percent
 
 
-def class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("n"))
-
-
 def smallest_class(df: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
     """Class count and the smallest count; a class without rows counts 0."""
     counts = df.agg(*[F.count(F.when(F.col(label) == c, 1)).alias(f"n_{c}") for c in classes])

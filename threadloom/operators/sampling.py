@@ -107,10 +107,9 @@ def nested_fractions(
     Subsets are nested: the first floor(f * n) rows of one random order, or of
     each stratum's order.
     """
-    borders = [(str(i), share_down(f)) for i, f in enumerate(fractions)]
-    marked = segment_by_rank(df, order_key(*ids, seed=seed), borders, strata=strata, out="_from")
+    marked = first_fraction(df, ids, fractions, strata, seed, "_from")
     steps = F.array(*[F.lit(float(Fraction(f))) for f in fractions])
-    start = F.col("_from").cast("int") + 1
+    start = F.col("_from") + 1
     return (
         marked.where(F.col("_from").isNotNull())
         .withColumn("fraction", F.explode(F.slice(steps, start, F.lit(len(fractions)))))
@@ -118,6 +117,16 @@ def nested_fractions(
     )
 
 
+def first_fraction(
+    df: DataFrame, ids: Sequence[str], fractions: Sequence[str], strata: Sequence[str] = (), seed: int = SEED,
+    out: str = "first_step",
+) -> DataFrame:
+    """The number of the first of the rising ``fractions`` whose subset holds the row; null if none does."""
+    borders = [(str(i), share_down(f)) for i, f in enumerate(fractions)]
+    marked = segment_by_rank(df, order_key(*ids, seed=seed), borders, strata=strata, out=out)
+    return marked.withColumn(out, F.col(out).cast("int"))
+
+
 def fraction_steps(first: str, last: str, count: int) -> list[str]:
     """``count`` evenly spaced fractions as exact decimal-free text."""
     lo, hi = Fraction(first), Fraction(last)

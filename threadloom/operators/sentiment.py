@@ -13,15 +13,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.functions.hashing import id_text
 from threadloom.functions.labels import by_threshold
 from threadloom.functions.text import null_text
 from threadloom.session import settle
 
 # Rows up to which a lexicon is broadcast.
 BROADCAST_ENTRIES = 100_000
-# Copies of a bigger lexicon, so that no one task gets every use of a hot word.
-LEXICON_SALTS = 16
 # Contributions are summed as whole units, so the order of words cannot matter.
 UNITS = 1_000_000_000
 
@@ -175,87 +172,83 @@ def score_texts(
     lexicon: DataFrame,
     out: str = "compound",
     scheme: Scheme = DEFAULT_SCHEME,
-    ids: Sequence[str] | None = None,
     broadcast_entries: int = BROADCAST_ENTRIES,
 ) -> DataFrame:
     """Add the compound score of ``text_col``; a null text scores 0.
 
-    Words meet the lexicon in a broadcast join, or in a salted one if it has
-    more than ``broadcast_entries`` rows. Hits are summed inside the task that
-    read the text, so one small row per text is shuffled, then joined back.
-    Select only the columns you need first: a text that is not part of the
-    result stays out of the shuffle.
+    ``df`` is read once. A text's words are exploded behind one marker row that
+    carries the row's other columns. Words that the lexicon doesn't have go;
+    what is left is summed by row, first inside the task that read the text, and
+    one row per text is shuffled. Rows are told apart by a number, not by their
+    content, so ids may repeat or be missing and copies of a text are no hot key.
 
-    ``ids`` must be unique and not null; without it rows are matched by a digest
-    of the text, which holds for any number of copies. ``df`` is read twice, so
-    settle it first if it is the result of an expensive join.
+    The lexicon is broadcast up to ``broadcast_entries`` rows. A bigger one joins
+    by shuffle; adaptive execution splits the partitions of frequent words.
+    Columns that the result doesn't use stay out of the shuffle.
     """
-    text = null_text(F.col(text_col))
-    keys = [f"_key{i}" for i in range(len(ids))] if ids else ["_key0"]
-    key_values = [F.col(c) for c in ids] if ids else [F.sha2(text, 256)]
-    keyed = df.withColumns({**dict(zip(keys, key_values)), "_emphasis": _emphasis(text, scheme)})
-    sums = word_sums(keyed.select(*keys, text.alias("_text")), keys, lexicon, scheme, broadcast_entries, copies=not ids)
-    score = _compound(F.col("_units"), F.col("_emphasis"), scheme)
+    lexicon, boosters, small = _prepared(lexicon, scheme, broadcast_entries)
     kept = [c for c in df.columns if c != out]
-    # The sums are a few bytes per text, so they are hashed; wide rows need no sort.
-    return keyed.join(sums.hint("shuffle_hash"), keys, "left").select(*kept, score.alias(out))
+    own = {f"_own{i}": F.col(f"`{c}`") for i, c in enumerate(kept)}
+    reach = range(1, len(scheme.damping) + 1)
+    text, words = F.col("_text"), F.col("_words")
+    rows = df.select(*[c.alias(n) for n, c in own.items()], null_text(F.col(text_col)).alias("_text"))
+    rows = rows.select(
+        *own, F.monotonically_increasing_id().alias("_row"), "_text", _emphasis(text, scheme).alias("_emphasis"),
+        bare_words(text).alias("_bare"),
+    )
+    # Each word travels with the words before it, so that no row carries a whole
+    # text; the arrays reach past the end, where the outer explode gives nulls.
+    none = F.array(F.lit(None).cast("string"))
+    split = rows.select(
+        *own, "_row", "_emphasis", F.concat(none, split_words(F.col("_bare"))).alias("_words"),
+        _first_contrast(F.col("_bare"), scheme).alias("_turn"), _mixed_case(text).alias("_mixed"),
+    )
+    shifted = [F.concat(*[none] * d, words).alias(f"_before{d}") for d in reach]
+    placed = split.select(
+        *own, "_row", "_emphasis", "_turn", "_mixed", F.posexplode_outer(F.arrays_zip(words, *shifted)).alias("_at", "_place")
+    )
+    marker = F.col("_at") == 0
+    shown = placed.select(
+        *[F.when(marker, F.col(n)).alias(n) for n in own], "_row", F.when(marker, F.col("_emphasis")).alias("_emphasis"),
+        marker.alias("_marker"), "_turn", "_mixed", (F.col("_at") - 1).alias("_at"), F.col("_place._words").alias("_shown"),
+        *[F.col(f"_place._before{d}") for d in reach],
+    ).withColumn("token", F.lower("_shown"))
+    shown = shown.where("_marker or token is not null")
+    hits = shown.join(F.broadcast(lexicon) if small else lexicon, "token", "left").where("_marker or valence is not null")
+    # The words before are looked at for hits only.
+    hits = hits.withColumns({f"_before{d}": F.lower(F.col(f"_before{d}")) for d in reach})
+    amount = _contribution(
+        F.col("valence"), F.col("_shown"), F.col("_at"), [F.col(f"_before{d}") for d in reach], boosters, scheme
+    )
+    sums = hits.groupBy("_row").agg(
+        F.sum(amount).alias("_units"), F.max("_emphasis").alias("_emphasis"),
+        *[F.any_value(n, F.lit(True)).alias(n) for n in own],
+    )
+    score = _compound(F.col("_units"), F.col("_emphasis"), scheme)
+    return sums.select(*[F.col(n).alias(c) for n, c in zip(own, kept)], score.alias(out))
 
 
-def word_sums(
-    texts: DataFrame, keys: Sequence[str], lexicon: DataFrame, scheme: Scheme, broadcast_entries: int, copies: bool
-) -> DataFrame:
-    """(keys, _units): summed contributions of each text that has a hit."""
+def _prepared(lexicon: DataFrame, scheme: Scheme, broadcast_entries: int) -> tuple[DataFrame, dict[str, float], bool]:
+    """The lexicon without repeats, the degree words that aren't in it, and whether it is small."""
     lexicon = (
         lexicon.where(F.col("token").isNotNull()).groupBy("token")
         .agg(F.max(F.col("valence").cast("double")).alias("valence"))
-    )
+    ).where("valence is not null")
     rows = lexicon.limit(broadcast_entries + 1).collect()
     small = len(rows) <= broadcast_entries
     if small:
         known = {r["token"] for r in rows}
-        lexicon = texts.sparkSession.createDataFrame(rows, "token string, valence double")
+        lexicon = lexicon.sparkSession.createDataFrame(rows, "token string, valence double")
     else:
         lexicon = settle(lexicon, "lexicon")
         known = {r["token"] for r in lexicon.where(F.col("token").isin(list(scheme.boosters))).select("token").collect()}
-    boosters = {w: v for w, v in scheme.boosters.items() if w not in known}
-    reach = range(1, len(scheme.damping) + 1)
-
-    text, words = F.col("_text"), F.col("_words")
-    # Each word travels with the words before it, so that no row carries a whole
-    # text; the arrays reach past the end, where the outer explode gives nulls.
-    none = F.array(F.lit(None).cast("string"))
-    shifted = [F.concat(*[none] * d, words).alias(f"_before{d}") for d in reach]
-    bare = texts.select(*keys, "_text", bare_words(text).alias("_bare"))
-    split = bare.select(
-        *keys, split_words(F.col("_bare")).alias("_words"), _first_contrast(F.col("_bare"), scheme).alias("_turn"),
-        _mixed_case(text).alias("_mixed"),
-    )
-    placed = split.select(*keys, "_turn", "_mixed", F.posexplode_outer(F.arrays_zip(words, *shifted)).alias("_at", "_place"))
-    shown = placed.select(
-        *keys, "_turn", "_mixed", "_at", F.col("_place._words").alias("_shown"),
-        *[F.col(f"_place._before{d}") for d in reach],
-    ).withColumn("token", F.coalesce(F.lower("_shown"), F.lit("")))
-    if small:
-        hits = shown.join(F.broadcast(lexicon), "token")
-    else:
-        salt = F.pmod(F.xxhash64(id_text(*keys), F.col("_at")), F.lit(LEXICON_SALTS).cast("bigint")).cast("int")
-        salted = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEXICON_SALTS - 1))))
-        hits = shown.withColumn("_salt", salt).join(salted, ["token", "_salt"])
-    # The words before are looked at for hits only.
-    before = {f"_before{d}": F.lower(F.col(f"_before{d}")) for d in reach}
-    hits = hits.withColumns(before)
-    amount = _contribution(F.col("valence"), F.col("_shown"), F.col("_at"), [F.col(b) for b in before], boosters, scheme)
-    if not copies:
-        return hits.groupBy(*keys).agg(F.sum(amount).alias("_units"))
-    # Copies of a text add equal sums at every place; one of them counts.
-    per_place = hits.groupBy(*keys, "_at").agg(F.max(amount).alias("_amount"))
-    return per_place.groupBy(*keys).agg(F.sum("_amount").alias("_units"))
+    return lexicon, {w: v for w, v in scheme.boosters.items() if w not in known}, small
 
 
 def add_sentiment(
     df: DataFrame, text_col: str, lexicon: DataFrame, high: float = 0.05, low: float = -0.05,
-    scheme: Scheme = DEFAULT_SCHEME, ids: Sequence[str] | None = None, prefix: str = "vader",
+    scheme: Scheme = DEFAULT_SCHEME, prefix: str = "vader",
 ) -> DataFrame:
     """Compound score and its class, as ``<prefix>_compound`` and ``<prefix>_sentiment``."""
-    scored = score_texts(df, text_col, lexicon, f"{prefix}_compound", scheme, ids)
+    scored = score_texts(df, text_col, lexicon, f"{prefix}_compound", scheme)
     return scored.withColumn(f"{prefix}_sentiment", by_threshold(F.col(f"{prefix}_compound"), high, low))

@@ -35,7 +35,7 @@ def balance(
     """
     text = tx.combined_text(F.col("title"), F.col("selftext"), F.col("body"))
     usable = raw_posts.withColumn("text_content", text).where(F.length("text_content") > 0)
-    scored = score_texts(usable.select("id", *by, "text_content"), "text_content", lexicon, "_compound", scheme, ["id"])
+    scored = score_texts(usable.select("id", *by, "text_content"), "text_content", lexicon, "_compound", scheme)
     narrow = settle(
         scored.select("id", *by, by_threshold(F.col("_compound"), high, low).alias("sentiment")), "scored"
     )

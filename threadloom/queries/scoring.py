@@ -74,26 +74,27 @@ DOC_SCORES = f"{st.LEXICON}, {sentiment_ctes('documents', 'doc_id', 'text', 'sco
 @query("sentiment_lexicon", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
 def sentiment_lexicon(spark, sf):
     docs = st.documents(spark, sf).select("doc_id", "text")
-    return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"]).drop("text")
+    return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).drop("text")
 
 
 @query("sentiment_lexicon_join", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
 def sentiment_lexicon_join(spark, sf):
     docs = st.documents(spark, sf).select("doc_id", "text")
-    scored = score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"], broadcast_entries=0)
+    scored = score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, broadcast_entries=0)
     return scored.drop("text")
 
 
-@query("sentiment_lexicon_copies", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound FROM scores")
+# Every document three times under one id: each row has the score of its own text.
+@query("sentiment_lexicon_copies", f"WITH {DOC_SCORES} SELECT sid % 7 AS id, compound FROM scores CROSS JOIN range(3)")
 def sentiment_lexicon_copies(spark, sf):
-    docs = st.documents(spark, sf).select("doc_id", "text")
-    return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).drop("text")
+    docs = st.documents(spark, sf).select((F.col("doc_id") % 7).alias("id"), "text", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return score_texts(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).select("id", "compound")
 
 
 @query("sentiment_class", f"WITH {DOC_SCORES} SELECT sid AS doc_id, compound AS vader_compound, {class_sql('compound', 0.05, -0.05)} AS vader_sentiment FROM scores")
 def sentiment_class(spark, sf):
     docs = st.documents(spark, sf).select("doc_id", "text")
-    return add_sentiment(docs, "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["doc_id"]).drop("text")
+    return add_sentiment(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).drop("text")
 
 
 # Rules that match the invented prose, added to the domain rules.
@@ -212,21 +213,20 @@ def balance_dumps_job(spark, sf):
 @query("scored_threads_by_split", f"""WITH {st.LEXICON}, {st.RAW_DOCUMENTS}, {st.RAW_TURNS},
 ranked AS (SELECT substr(link_id, 4) AS post_id, body, row_number() OVER (PARTITION BY link_id ORDER BY score DESC, id) AS rn FROM raw_turns),
 children AS (SELECT post_id, string_agg(body, ' ' ORDER BY rn) AS children FROM ranked WHERE rn <= 3 GROUP BY post_id),
-train_text AS (SELECT p.id, p.subreddit AS category, p.title || ' ' || p.selftext || ' ' || coalesce(c.children, '') AS text, p.score,
+thread_view AS (SELECT p.id, p.subreddit AS category, p.title || ' ' || p.selftext || ' ' || coalesce(c.children, '') AS text, p.score,
   p.created_utc AS created_ts, {st.split_sql('p.id')} AS split
   FROM raw_documents p LEFT JOIN children c ON p.id = c.post_id WHERE p.selftext IS NOT NULL),
-{sentiment_ctes('train_text', 'id', 'text', 'scores')}
-SELECT t.*, compound AS vader, {class_sql('compound', 0.05, -0.05)} AS vader_label FROM train_text t JOIN scores ON id = sid
-WHERE split <> 'train'""")
+{sentiment_ctes('thread_view', 'id', 'text', 'scores')}
+SELECT t.*, compound AS vader, {class_sql('compound', 0.05, -0.05)} AS vader_label FROM thread_view t JOIN scores ON id = sid""")
 def scored_threads_by_split(spark, sf):
     posts = st.raw_documents(spark, sf).withColumnsRenamed({"subreddit": "category", "created_utc": "created_ts"}).drop("body")
     turns = st.raw_turns(spark, sf).withColumn("post_id", drop_prefix3(F.col("link_id")))
-    inline_thread_texts(posts, turns, 3, best_first("id")).createOrReplaceTempView("train_text")
-    scored = add_sentiment(spark.table("train_text"), "text", st.lexicon(spark, sf), scheme=SCHEME, ids=["id"])
-    scored.withColumnsRenamed({"vader_compound": "vader", "vader_sentiment": "vader_label"}).createOrReplaceTempView("train_vader")
-    path = scratch_path(spark, "train_vader")
-    write_parquet(spark.table("train_vader"), path, ["split"])
-    return spark.read.parquet(path).where(F.col("split") != "train")
+    inline_thread_texts(posts, turns, 3, best_first("id")).createOrReplaceTempView("thread_view")
+    scored = add_sentiment(spark.table("thread_view"), "text", st.lexicon(spark, sf), scheme=SCHEME)
+    scored.withColumnsRenamed({"vader_compound": "vader", "vader_sentiment": "vader_label"}).createOrReplaceTempView("scored_view")
+    path = scratch_path(spark, "scored_view")
+    write_parquet(spark.table("scored_view"), path, ["split"])
+    return spark.read.parquet(path)
 
 
 @query("thread_export_job", f"""WITH {st.POSTS}, {st.COMMENTS},

@@ -214,7 +214,3 @@ LEXICON = r"""lexicon AS (
            (('0x' || substr(md5(token), 5, 4))::INT % 35 + 5) / 10.0::DOUBLE AS size
     FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM benchmark))
   WHERE side < 2)"""
-
-
-def random_key(*ids: str) -> Column:
-    return order_key(*ids)

@@ -42,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="threadloom-"))
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="threadloom-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -84,12 +86,10 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if small else table
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a freshly opened source over all cores.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt over ``partitions`` tasks if the caller asks for it.
 
-    A few unsplittable files (compressed dumps, one big row group) would leave
-    most cores idle during heavy text work. A source with at least one split
-    per core, as any big table has, is returned as it is.
+    A few unsplittable files (compressed dumps, one big row group) leave most
+    cores idle during heavy text work; dealing them costs a shuffle of the rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions) if partitions else df

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.operators.threads import latest_per_key
 
-# Tasks a single JSON array file may hold; bigger exports are written as lines.
-ARRAY_FILE_ROWS = 10_000
-
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode).option("compression", "zstd")
@@ -30,25 +27,39 @@ def create_table(spark: SparkSession, path: str, schema) -> None:
 def append_new(df: DataFrame, path: str, key: str, newest_first: Sequence[str]) -> None:
     """Append rows whose key is not stored yet; running it again adds nothing.
 
-    A key that occurs twice in the batch is stored once, its newest row.
+    A key that occurs twice in the batch is stored once, its newest row. Rows
+    without a key can't be told apart and aren't stored; ``without_key`` has them.
+    Stored keys go first, so that only new rows are sorted out by age.
     """
     create_table(df.sparkSession, path, df.schema)
     stored = df.sparkSession.read.schema(df.schema).parquet(path).select(key)
-    fresh = latest_per_key(df, key, *newest_first).join(stored, key, "left_anti").select(*df.columns)
+    unseen = df.where(F.col(key).isNotNull()).join(stored, key, "left_anti").select(*df.columns)
+    fresh = latest_per_key(unseen, key, *newest_first)
     fresh.write.mode("append").option("compression", "zstd").parquet(path)
 
 
+def without_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows that ``append_new`` leaves out."""
+    return df.where(F.col(key).isNull())
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_json_array(df: DataFrame, path: str, max_rows: int = ARRAY_FILE_ROWS) -> None:
-    """One JSON array in one file, for label tasks; refuses more than ``max_rows``."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"more than {max_rows} rows; use write_json_lines")
-    one = df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("value"))
-    one.coalesce(1).write.text(path)
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array in one file, an element to a line, as labelling tools take it.
+
+    The file is one task's work by definition; its rows pass through, sorted on
+    disk if need be, and are never held together. Lines scale without that.
+    """
+    rows = df.select(F.lit(1).alias("part"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    marks = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string")
+    ordered = rows.unionByName(marks).repartition(1).sortWithinPartitions("part")
+    # The opening mark is row 0 and the first element row 1.
+    numbered = ordered.withColumn("row", F.monotonically_increasing_id())
+    later = (F.col("part") == 1) & (F.col("row") > 1)
+    numbered.select(F.concat(F.when(later, ",").otherwise(""), "value").alias("value")).write.text(path)
 
 
 def load_log(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -43,13 +43,16 @@ PLANT_BASED_NAMES = ("plantbaseddiet", "vegan", "vegetarian")
 PLANT_BASED_GROUP = "plantbaseddiet_combined"
 
 
-def raw_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def raw_records(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, partitions: int | None = None
+) -> DataFrame:
     """All records below ``path``, with the path of the file they came from.
 
-    Lines that are no JSON objects stay as rows with ``_corrupt_record`` set.
+    Lines that are no JSON objects stay as rows with ``_corrupt_record`` set. A
+    compressed dump is one task's to read; ``partitions`` deals its lines out.
     """
     source = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
-    lines = spread(source).where(F.length("value") > 0)
+    lines = spread(source, partitions).where(F.length("value") > 0)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     record = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return lines.select(record.alias("_record"), "file_path").select("_record.*", "file_path")

@@ -10,14 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from threadloom.session import spread
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read by extension: ``.parquet``, or ``.jsonl`` / ``.ndjson`` with a schema; for heavy work on texts."""
+def load_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Read by extension: ``.parquet``, or ``.jsonl`` / ``.ndjson`` with a schema.
+
+    ``partitions`` deals the rows of a few big files out, for heavy work on texts.
+    """
     if path.rstrip("/").endswith(".parquet"):
-        return spread(spark.read.parquet(path))
+        return spread(spark.read.parquet(path), partitions)
     if path.endswith((".jsonl", ".ndjson")):
         if schema is None:
             raise ValueError("JSON lines need a schema")
-        return spread(spark.read.schema(schema).json(path))
+        return spread(spark.read.schema(schema).json(path), partitions)
     raise ValueError("input must be .parquet or .jsonl")
 
 
