@@ -97,7 +97,8 @@ def test_task_files(spark, tmp_path):
     (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
     for name, array in (("array.json", True), ("lines.json", False)):
         out = tasks.annotated_tasks(spark, str(tmp_path / name), array)
-        assert out.schema.names == TASK_SCHEMA.names and out.count() == 3
+        assert out.schema.names == [*TASK_SCHEMA.names, "record"] and out.count() == 3
+        assert json.loads(out.where("id = 1").first()["record"]) == rows[1]
 
 
 def test_json_array_is_whole(spark, tmp_path):

@@ -9,7 +9,7 @@ from threadloom.functions.labels import canonical_label
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
 from threadloom.session import scratch_path
-from threadloom.sinks.tables import write_json_lines
+from threadloom.sinks.tables import write_json_array, write_json_lines
 from threadloom.sources import tasks
 
 # Seven shapes a record can have, by document number:
@@ -21,8 +21,8 @@ SHAPES = 7
 LABEL = f"CASE WHEN lang = 'es' THEN 'off-topic' ELSE sentiment END"
 
 
-def annotated(spark, sf):
-    """Labelled documents as annotation records, written and read as JSON lines."""
+def annotated(spark, sf, array_file=False):
+    """Labelled documents as annotation records, written and read as JSON lines or as one array."""
     word = F.when(F.col("lang") == "es", F.lit("off-topic")).otherwise(F.col("sentiment"))
 
     def choice(value, name="sentiment", kind="choices"):
@@ -49,36 +49,43 @@ def annotated(spark, sf):
     for number, value in shapes.items():
         built = F.when(shape == number, value) if built is None else built.when(shape == number, value)
     rows = st.labelled(spark, sf).select(
-        F.col("doc_id").alias("id"), F.struct("text").alias("data"), built.alias("annotations")
+        F.concat(F.lit("t"), F.col("doc_id")).alias("id"), F.struct("text", "source").alias("data"), built.alias("annotations"),
+        F.lit("2024-01-01").alias("created_at"),
     )
     path = scratch_path(spark, "tasks")
-    write_json_lines(rows, path)
-    return tasks.annotated_tasks(spark, path)
+    (write_json_array if array_file else write_json_lines)(rows, path)
+    return tasks.annotated_tasks(spark, path, array_file)
 
 
 @query("src_annotated_tasks", f"""WITH {st.LABELLED}
-SELECT doc_id AS id, text, CASE doc_id % {SHAPES} WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS n_annotations FROM labelled""")
+SELECT 't' || doc_id AS id, text, CASE doc_id % {SHAPES} WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS n_annotations FROM labelled""")
 def src_annotated_tasks(spark, sf):
-    return annotated(spark, sf).select("id", F.col("data.text").alias("text"), F.size("annotations").alias("n_annotations"))
+    return annotated(spark, sf, array_file=True).select("id", F.col("data.text").alias("text"), F.size("annotations").alias("n_annotations"))
 
 
 @query("labels_extract_strict", f"""WITH {st.LABELLED}
-SELECT doc_id AS id, CASE WHEN doc_id % {SHAPES} IN (2, 3) THEN {LABEL} WHEN doc_id % {SHAPES} = 6 THEN 'unsure' END AS label FROM labelled""")
+SELECT 't' || doc_id AS id, CASE WHEN doc_id % {SHAPES} IN (2, 3) THEN {LABEL} WHEN doc_id % {SHAPES} = 6 THEN 'unsure' END AS label FROM labelled""")
 def labels_extract_strict(spark, sf):
     return annotated(spark, sf).select("id", an.strict_label(F.col("annotations")).alias("label"))
 
 
 @query("labels_extract_first", f"""WITH {st.LABELLED}
-SELECT doc_id AS id, CASE doc_id % {SHAPES} WHEN 0 THEN NULL WHEN 6 THEN 'unsure'
+SELECT 't' || doc_id AS id, CASE doc_id % {SHAPES} WHEN 0 THEN NULL WHEN 6 THEN 'unsure'
        ELSE CASE WHEN lang = 'es' THEN 'offtopic' ELSE sentiment END END AS label FROM labelled""")
 def labels_extract_first(spark, sf):
     return annotated(spark, sf).select("id", canonical_label(an.first_label(F.col("annotations"))).alias("label"))
 
 
-@query("labels_valid_any", f"WITH {st.LABELLED} SELECT doc_id AS id, text FROM labelled WHERE doc_id % {SHAPES} <> 0")
+# Whole records are kept: also the keys that no label function reads.
+@query("labels_valid_any", f"""WITH {st.LABELLED}
+SELECT 't' || doc_id AS id, text, source, '2024-01-01' AS created_at FROM labelled WHERE doc_id % {SHAPES} <> 0""")
 def labels_valid_any(spark, sf):
     kept = annotated(spark, sf).where(an.has_valid_label(F.col("annotations")))
-    return kept.select("id", F.col("data.text").alias("text"))
+    path = scratch_path(spark, "kept-tasks")
+    tasks.write_records(kept, path)
+    return spark.read.schema("id string, data struct<text: string, source: string>, created_at string").json(path).select(
+        "id", "data.*", "created_at"
+    )
 
 
 @query("labels_invalid_audit", f"""WITH {st.LABELLED}

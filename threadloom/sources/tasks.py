@@ -1,8 +1,8 @@
-"""Annotation files."""
+"""Annotation files, read and written as whole records."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.annotations import TASK_SCHEMA
 
@@ -10,6 +10,18 @@ from threadloom.functions.annotations import TASK_SCHEMA
 def annotated_tasks(spark: SparkSession, path: str | list[str], array_file: bool = False) -> DataFrame:
     """Annotated tasks, one per line, or one JSON array per file.
 
-    An array file is parsed by one task; keep big exports as lines.
+    ``record`` has the whole task as text, with every key it came with; ``id``,
+    ``data`` and ``annotations`` are what the label functions need of it. An
+    array file is parsed by one task; keep big exports as lines.
     """
-    return spark.read.schema(TASK_SCHEMA).option("multiLine", str(array_file).lower()).json(path)
+    if array_file:
+        files = spark.read.text(path, wholetext=True)
+        records = files.select(F.explode(F.from_json("value", "array<string>")).alias("record"))
+    else:
+        records = spark.read.text(path).withColumnRenamed("value", "record").where(F.trim("record") != "")
+    return records.withColumn("_task", F.from_json("record", TASK_SCHEMA)).select("_task.*", "record")
+
+
+def write_records(tasks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Whole records again, one per line."""
+    tasks.select("record").write.mode(mode).text(path)
