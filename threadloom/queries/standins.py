@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from threadloom.functions.hashing import SEED, hash_bucket, hash_split, order_key
+from threadloom.functions.hashing import SEED, hash_bucket, hash_split
 from threadloom.functions.text import words
 from threadloom.sources.tables import load_table
 
