@@ -214,6 +214,11 @@ def test_compared_with_next(which, request, spark, monkeypatch):
     assert sorted(r.fingerprint for r in found) == sorted(by_text[t] for _, t in rows)
 
 
+def test_fingerprint_rows(edge):
+    rows = zip(edge.select("doc_id", "text").collect(), fingerprints.fingerprint_rows(edge).collect())
+    assert all(tuple(f) == (r.doc_id, fingerprints.written(fingerprints.chunks(r.text or ""))) for r, f in rows)
+
+
 def test_likeness_survives_shifts():
     rnd = random.Random(9)
     text = " ".join(rnd.choice("alpha beta gamma delta rho".split()) + str(rnd.randint(0, 99)) for _ in range(400))

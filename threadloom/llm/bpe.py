@@ -42,7 +42,7 @@ CACHED_WORDS = 150_000
 CACHED_PAIRS = 150_000
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 # Python takes these for white space, the tokenizer does not.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
