@@ -26,6 +26,32 @@ UNITS = 1_000_000_000
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
+# The degree words and negations that Hutto & Gilbert (2014) published with their scheme, in their order.
+# Entries of two words are part of the lists; words are looked up one by one, so they match nothing here.
+STRONGER = (
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply", "effing",
+    "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme", "extremely",
+    "fabulously", "flipping", "flippin", "frackin", "fracking", "fricking", "frickin", "frigging", "friggin", "fully",
+    "fuckin", "fucking", "fuggin", "fugging", "greatly", "hella", "highly", "hugely", "incredible", "incredibly",
+    "intensely", "major", "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably", "so",
+    "substantially", "thoroughly", "total", "totally", "tremendous", "tremendously", "uber", "unbelievably", "unusually",
+    "utter", "utterly", "very",
+)
+WEAKER = (
+    "almost", "barely", "hardly", "just enough", "kind of", "kinda", "kindof", "kind-of", "less", "little", "marginal",
+    "marginally", "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat", "sort of",
+    "sorta", "sortof", "sort-of",
+)
+NEGATORS = (
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't", "can't", "couldn't",
+    "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt", "neither", "don't",
+    "hadn't", "hasn't", "haven't", "isn't", "mightn't", "mustn't", "neednt", "needn't", "never", "none", "nope", "nor",
+    "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent", "oughtn't", "shan't",
+    "shouldn't", "uh-uh", "wasn't", "weren't", "without", "wont", "wouldnt", "won't", "wouldn't", "rarely", "seldom",
+    "despite",
+)
+
+
 def _strengths(up: Sequence[str], down: Sequence[str], step: float = 0.293) -> dict[str, float]:
     return {**{w: step for w in up}, **{w: -step for w in down}}
 
@@ -34,21 +60,8 @@ def _strengths(up: Sequence[str], down: Sequence[str], step: float = 0.293) -> d
 class Scheme:
     """Fixed values of the scoring scheme, all replaceable."""
 
-    boosters: Mapping[str, float] = field(
-        default_factory=lambda: _strengths(
-            up="absolutely amazingly awfully completely considerably decidedly deeply enormously entirely "
-            "especially exceptionally extremely fully greatly highly hugely incredibly intensely majorly more "
-            "most particularly purely quite really remarkably so substantially thoroughly totally tremendously "
-            "unbelievably unusually utterly very".split(),
-            down="almost barely hardly less little marginally occasionally partly scarcely slightly somewhat".split(),
-        )
-    )
-    negators: Sequence[str] = tuple(
-        "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neednt "
-        "neither never no nobody none nope nor not nothing nowhere rarely seldom shant shouldnt wasnt werent "
-        "without wont wouldnt ain't aren't can't couldn't daren't didn't doesn't don't hadn't hasn't haven't "
-        "isn't mightn't mustn't needn't shan't shouldn't wasn't weren't won't wouldn't".split()
-    )
+    boosters: Mapping[str, float] = field(default_factory=lambda: _strengths(STRONGER, WEAKER))
+    negators: Sequence[str] = NEGATORS
     contrast: Sequence[str] = ("but",)
     damping: Sequence[float] = (1.0, 0.95, 0.9)
     negation: float = -0.74
