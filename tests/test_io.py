@@ -167,7 +167,10 @@ def test_balance_job_from_dumps(spark, tmp_path):
     from threadloom.plans.balance import balance_dumps
 
     out = str(tmp_path / "out")
-    summary = balance_dumps(spark, str(raw), out, lexicon, target=5, comment_order=best_first("id"))
+    bad = str(tmp_path / "bad")
+    summary = balance_dumps(spark, str(raw), out, lexicon, target=5, comment_order=best_first("id"), quarantine=bad)
+    lines = spark.read.json(bad).collect()
+    assert [r["line"] for r in lines] == ["oops"] * 4 and len({r["file_path"] for r in lines}) == 4
     written = spark.read.json(out)
     posts = written.where("parent_id is null").groupBy("dataset_group", "sentiment").count().collect()
     sizes = {(r["dataset_group"], r["sentiment"]): r["count"] for r in posts}

@@ -59,22 +59,27 @@ def balance(
 def balance_dumps(
     spark: SparkSession, raw: str, out: str, lexicon: DataFrame, target: int = 1000, include_comments: bool = True,
     k: int = 2, comment_order: Sequence[Column] | None = None, rules: Rules = DOMAIN_RULES,
-    scheme: Scheme = DEFAULT_SCHEME, seed: int = SEED,
+    scheme: Scheme = DEFAULT_SCHEME, seed: int = SEED, quarantine: str | None = None,
 ) -> DataFrame:
     """Balance every data set group below ``raw`` in one job.
 
     Writes JSON lines below ``out``, a folder per group, and returns the
-    objects per group with a total line.
+    objects per group with a total line. Lines that are no records go to
+    ``quarantine`` with the path of their file, if that is given. The posts are
+    parsed once and settled, as scores, sample and texts all read them.
     """
     by = ["dataset_group"]
     group = dumps.dataset_group(dumps.dataset_name(F.col("file_path"))).alias(by[0])
-    posts, _ = dumps.tolerant(spark, f"{raw}/{dumps.POST_DUMPS}", dumps.RAW_POST)
+    posts, bad = dumps.tolerant(spark, f"{raw}/{dumps.POST_DUMPS}", dumps.RAW_POST)
     posts = posts.select("*", group, F.lit(None).cast("string").alias("body"))
     comments = None
     if include_comments:
-        comments, _ = dumps.tolerant(spark, f"{raw}/{dumps.COMMENT_DUMPS}", dumps.RAW_COMMENT)
+        comments, bad_comments = dumps.tolerant(spark, f"{raw}/{dumps.COMMENT_DUMPS}", dumps.RAW_COMMENT)
         comments = comments.select("*", group).withColumn("score", dumps.whole_number(F.col("score")))
-    posts = posts.withColumn("score", dumps.whole_number(F.col("score")))
+        bad = bad.unionByName(bad_comments)
+    if quarantine:
+        bad.write.json(quarantine)
+    posts = settle(posts.withColumn("score", dumps.whole_number(F.col("score"))), "posts")
     objects = balance(posts, lexicon, comments, target, by, k, comment_order, rules, scheme, seed=seed)
     objects.write.partitionBy(*by).option("ignoreNullFields", "false").json(out)
     written = spark.read.schema(objects.schema).json(out)
