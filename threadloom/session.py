@@ -60,7 +60,17 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read any more; loops call it for the rounds behind them."""
+    for table in tables:
+        session = table.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
