@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.session import settle
+from threadloom.session import discard, settle
 
 EDGES_PER_CHUNK = 200_000
 
@@ -81,7 +81,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         # large_star gives edges from the larger to the smaller node, as small_star takes them.
-        edges = settle(small_star(settle(large_star(edges), "edges")), "edges")
+        past, half = edges, settle(large_star(edges), "edges")
+        edges = settle(small_star(half), "edges")
+        discard(past, half)
         now = state(edges)
         if now == before:
             break
