@@ -37,9 +37,9 @@ from threadloom.llm.words import Bounded, byte_letters, public_path
 VOCABULARY = "word_bpe_49k.json"
 # One for each byte inside a word, one for each byte at its end.
 SYMBOLS = 512
-CACHED_CHUNKS = 100_000
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 150_000
+CACHED_CHUNKS = 200_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 300_000
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
