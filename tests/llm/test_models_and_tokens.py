@@ -158,6 +158,27 @@ def test_packing(which, leaf, request, byte_library, monkeypatch):
         assert len(bins) <= 1.02 * -(-sum(r.length for r in rows) // 2048)
 
 
+@pytest.mark.parametrize("length", [300, 700, 1100])
+def test_rounds_never_cut_an_item(spark, monkeypatch, length):
+    monkeypatch.setattr(packing, "PIECES_PER_LEAF", 30)
+    monkeypatch.setattr(packing, "ITEMS_PER_ROUND", 7)
+    rows = [(i, 0, 0, length if i % 3 else 40 + i, i) for i in range(900)]
+    monkeypatch.setattr(packing, "token_pieces", lambda *args: spark.createDataFrame(rows, packing.PIECES).repartition(9))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = packing.packed(spark.range(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r)[:5] for r in out) == rows
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= 2048
+
+
 def test_best_fit_prefers_the_fullest_bin():
     assert packing.best_fit(np.array([5, 4, 3, 1]), 8) == [[0, 2], [1, 3]]
     assert packing.best_fit(np.array([8, 8, 8]), 8) == [[0], [1], [2]]

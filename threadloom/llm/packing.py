@@ -147,7 +147,7 @@ PACKED = f"{PIECES}, sequence_id long, offset long, open boolean"
 
 
 def pack_tasks(size: int, slack: int, level: int):
-    """Packs the items of a task in rounds. An item is a run of rows with one ``sequence_id``."""
+    """Packs the items of a task in rounds. An item is a run of rows with one ``sequence_id`` and stays whole."""
 
     def packed(df: pd.DataFrame, base: int) -> pd.DataFrame:
         _, at, item = np.unique(df["sequence_id"], return_index=True, return_inverse=True)
@@ -165,17 +165,23 @@ def pack_tasks(size: int, slack: int, level: int):
         )
 
     def tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Level, task and number within the task make a bin's id.
-        base, held = level << 58 | TaskContext.get().partitionId() << 36, []
+        # Level, task and number within the task make a bin's id; level 0 is that of the pieces.
+        base, held = level + 1 << 58 | TaskContext.get().partitionId() << 36, []
         for df in frames:
             held.append(df)
             if sum(map(len, held)) < ITEMS_PER_ROUND:
                 continue
-            out = packed(pd.concat(held), base)
+            rows = pd.concat(held)
+            # The last item may have more rows in the next frame.
+            last = rows["sequence_id"] == rows["sequence_id"].iloc[-1]
+            held = [rows]
+            if last.all():
+                continue
+            out = packed(rows[~last], base)
             base += len(out)
             # Open bins go on with the rows to come, unless there are too many to gain from that.
             wait = out["open"] & (out["open"].sum() < ITEMS_PER_ROUND // 2)
-            held = [out[wait]]
+            held = [out[wait], rows[last]]
             yield out[~wait]
         if held:
             yield packed(pd.concat(held), base)
