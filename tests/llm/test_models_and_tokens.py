@@ -115,6 +115,20 @@ def test_special_tokens_and_long_words(word_library, byte_library):
         check_bytes(byte_library, text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", " \u3000"])
+def test_long_white_space_is_encoded_as_the_library_does(byte_library, blank):
+    run = blank * (2_000_000 // len(blank))
+    for text in (run, run + "a", "b c" + run + "<|endoftext|>d", "b" + run + "<|x" + run + "\x1c."):
+        check_bytes(byte_library, text)
+
+
+def test_white_space_around_the_bound(byte_library, monkeypatch):
+    monkeypatch.setattr(packing, "LONG_BLANK", 2)
+    monkeypatch.setattr(packing, "BLANKS", re.compile(packing.BLANKS.pattern.replace("50000", "2")))
+    for text in ("a  b", "  ", "\t\tx  ", "x \n<|endoftext|>  y", "a\x1c\x1c b\x1f ", "\u2028\u2029'll  's", "  1\n\n!", "\xa0\xa0\x85é"):
+        check_bytes(byte_library, text)
+
+
 def test_digests(edge, documents, word_library):
     for docs in (edge, documents):
         found = bpe.digests(docs).collect()
