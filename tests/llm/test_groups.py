@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -161,6 +163,65 @@ def test_close_group_of_lines_falls_to_one(spark):
     assert next(r.removed for r in out if r.doc_id == 0) == ""
 
 
+def band_batches(lines, size=700):
+    """One band of the lines, named by their places."""
+    for at in range(0, len(lines), size):
+        own = lines[at : at + size]
+        yield pa.RecordBatch.from_arrays([pa.array([7] * len(own)), pa.array(range(at, at + len(own))), pa.array(own)], ["name", "line_hash", "line"])
+
+
+def verified_edges(lines):
+    return [e for b in line_dedup.verify_tasks(band_batches(lines)) for e in zip(*(c.to_pylist() for c in b.columns))]
+
+
+@pytest.mark.parametrize("block", [(1, 10**6), (3, 10**6), (40, 10**6), (50, 300), (2_000, 10**6)])
+def test_bands_of_many_blocks_are_linked_whole(block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINES_PER_BLOCK", block[0])
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", block[1])
+    rnd = random.Random(8)
+    lines = [f"lonely line number {i * 7919} of {rnd.random()}" for i in range(40)] + ["short", "shorter", "é" * 9, "a\rb"]
+    for group in range(9):  # chains, where only neighbours are alike
+        words = [f"{group}w{rnd.randint(0, 99999)}" for _ in range(12)]
+        for step in range(12):
+            words[step] = f"x{rnd.randint(0, 999)}"
+            lines.append(" ".join(words))
+    lines = list(dict.fromkeys(lines))
+    rnd.shuffle(lines)
+    grams = [line_dedup.shingles(x) for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.alike(grams[i], grams[j])]
+    found = verified_edges(lines)
+    expected = union_find(range(len(lines)), pairs)
+    assert union_find(range(len(lines)), found) == expected
+    assert len(found) == len(lines) - len(set(expected.values()))
+
+
+def test_memory_of_a_band_has_a_bound():
+    lines = [f"this sentence stands in a third of all documents, every time with the number {i:06d}" for i in range(20_000)]
+    tracemalloc.start()
+    found = verified_edges(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(lines) - 1
+    assert peak < 60e6
+
+
+def test_very_big_bands_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINES_PER_TASK", 10)
+    rows = [(1, i) for i in range(10)] + [(2, i) for i in range(11)] + [(3, i) for i in range(300)]
+    groups = {}
+    for r in line_dedup.dealt(spark.createDataFrame(rows, "name long, line_hash long")).collect():
+        groups.setdefault(r.name, []).append(r.line_hash)
+    assert sorted(groups[1]) == list(range(10)) and len(groups[1]) == 10
+    met = {(a, b) for name, g in groups.items() if name != 1 for a in g for b in g}
+    assert met == {(a, b) for a in range(300) for b in range(300)}
+    assert max(map(len, groups.values())) < 80
+    texts = [(i, f"this sentence stands in all documents, every time with number {i}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few = sorted(map(tuple, line_dedup.removed_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "LINES_PER_TASK", 10**6)
+    assert few == sorted(map(tuple, line_dedup.removed_lines(docs).collect()))
+
+
 def plain_cuts(data):
     ends, at, table = [], 0, fingerprints.gear().tolist()
     hashes = []

@@ -10,6 +10,10 @@ keeps the occurrence in the smallest document id and line number.
 
 A band's lines are searched breadth first, so that close groups of any size take
 little more than one comparison a line and give a spanning forest, not all pairs.
+A task holds a block of them at a time; those of a bigger band wait in a temporary
+file and are read past one block after the other, until all that were in no block
+are known to be connected. Very big bands are dealt to several tasks, each of which
+has two parts of the lines, so that any two lines meet.
 Only lines that share a band with another one are fetched as text.
 
 Lines without a visible character always stay. Null texts stay null, empty ones
@@ -19,7 +23,9 @@ rows without an id come last in order.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.common import packed, unpacked, whole_text
 from threadloom.llm.components import components
-from threadloom.session import settle
+from threadloom.session import settle, small_side
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
@@ -36,6 +42,10 @@ SIMILARITY = 0.8
 # Texts whose lines are hashed together: small enough for the processor's cache.
 CHARS_PER_BLOCK = 150_000
 REMEMBERED_LINES = 500_000
+# Lines of a band that a task compares at a time, and their characters.
+LINES_PER_BLOCK, BLOCK_CHARS = 2_000, 400_000
+# Lines of a band that one task takes, and parts that a bigger one is dealt to at most.
+LINES_PER_TASK, MOST_PARTS = 50_000, 16
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 LINES = "doc_id long, text_hash long, line_no int, line_hash long, bands array<long>"
@@ -195,9 +205,125 @@ def verified(hashes: list[int], lines: list[str]) -> Iterator[tuple[int, int]]:
             left = apart
 
 
+class Block:
+    """Some members of a band, by place, and the shingles they have."""
+
+    def __init__(self, places: list[int], lines: list[str]) -> None:
+        self.places, own = places, [shingles(x) for x in lines]
+        self.sizes, self.first = np.array([len(x) for x in own]), own[0]
+        having: dict[str, list[int]] = {}
+        for at, grams in enumerate(own):
+            for gram in grams:
+                having.setdefault(gram, []).append(at)
+        self.having = {gram: np.array(x, np.int32) for gram, x in having.items()}
+
+    def similar(self, own: set[str]) -> list[int]:
+        """Places of the members that are similar to a line of these shingles."""
+        having = [x for x in map(self.having.get, own) if x is not None]
+        if not having:
+            return []
+        shared = np.bincount(np.concatenate(having), minlength=len(self.sizes))
+        return [self.places[i] for i in np.flatnonzero(shared >= SIMILARITY * (self.sizes + len(own) - shared))]
+
+
+class Band:
+    """The members of a band: a first block of lines, the others in a file."""
+
+    def __init__(self) -> None:
+        self.hashes, self.lines, self.chars, self.file = array("q"), [], 0, None
+
+    def fits(self, lines: list[str], chars: int) -> bool:
+        return not lines or len(lines) < LINES_PER_BLOCK and chars <= BLOCK_CHARS
+
+    def add(self, line_hash: int, line: str) -> None:
+        self.hashes.append(line_hash)
+        if self.file is None and self.fits(self.lines, self.chars + len(line)):
+            self.lines.append(line)
+            self.chars += len(line)
+            return
+        if self.file is None:
+            self.file = TemporaryFile()
+        self.file.write(line.encode("utf-8", "surrogatepass") + b"\n")
+
+    def filed(self, wanted: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Place and line of the wanted members in the file."""
+        self.file.seek(0)
+        for at, raw in enumerate(self.file, len(self.lines)):
+            if wanted[at]:
+                yield at, raw[:-1].decode("utf-8", "surrogatepass")
+
+    def edges(self) -> Iterator[tuple[int, int]]:
+        """A spanning forest of the similar lines."""
+        if self.file is None:
+            yield from verified(self.hashes, self.lines)
+            return
+        with self.file:
+            for a, b in self.joined():
+                yield self.hashes[a], self.hashes[b]
+
+    def joined(self) -> Iterator[tuple[int, int]]:
+        root = array("q", range(len(self.hashes)))
+
+        def find(at: int) -> int:
+            while root[at] != at:
+                root[at] = at = root[root[at]]
+            return at
+
+        # Members of past blocks are compared with all others.
+        waiting = np.ones(len(root), bool)
+        places, lines = list(range(len(self.lines))), self.lines
+        while True:
+            block = Block(places, lines)
+            waiting[places] = False
+            for at, line in zip(places, lines):
+                for other in block.similar(shingles(line)):
+                    if find(at) != find(other):
+                        yield other, at
+                        root[find(at)] = find(other)
+            groups = {find(x) for x in places}
+            for at, line in self.filed(waiting):
+                own = find(at)
+                if groups == {own}:
+                    continue
+                grams = shingles(line)
+                near = places[:1] if len(groups) == 1 and alike(block.first, grams) else block.similar(grams)
+                reached = {find(x): x for x in near}
+                reached.pop(own, None)
+                for other, x in reached.items():
+                    yield x, at
+                    root[find(at)] = other
+                if len(reached) > 1 or reached and own in groups:
+                    groups = {find(x) for x in places}
+            # Of those that wait only what is outside the largest group needs to meet the others.
+            left = np.flatnonzero(waiting)
+            roots = np.fromiter(map(find, left.tolist()), np.int64, len(left))
+            names, counts = np.unique(roots, return_counts=True)
+            if len(names) < 2:
+                return
+            strays = np.zeros(len(root), bool)
+            strays[left[roots != names[counts.argmax()]]] = True
+            places, lines, chars = [], [], 0
+            for at, line in self.filed(strays):
+                chars += len(line)
+                if not self.fits(lines, chars):
+                    break
+                places.append(at)
+                lines.append(line)
+
+
+def band_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    name, band = None, Band()
+    for batch in batches:
+        for own, line_hash, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != name:
+                yield from band.edges()
+                name, band = own, Band()
+            band.add(line_hash, line)
+    yield from band.edges()
+
+
 def verify_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by band: edges between similar lines."""
-    name, hashes, lines = None, [], []
     found: list[tuple[int, int]] = []
 
     def flushed() -> pa.RecordBatch:
@@ -205,20 +331,26 @@ def verify_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.clear()
         return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    for batch in batches:
-        for own, line_hash, line in zip(*(c.to_pylist() for c in batch.columns)):
-            if own != name:
-                found.extend(verified(hashes, lines))
-                name, hashes, lines = own, [], []
-                if len(found) >= 10_000:
-                    yield flushed()
-            hashes.append(line_hash)
-            lines.append(line)
-    found.extend(verified(hashes, lines))
+    for edge in band_edges(batches):
+        found.append(edge)
+        if len(found) >= 10_000:
+            yield flushed()
     if found:
         yield flushed()
 
 
+def dealt(groups: DataFrame) -> DataFrame:
+    """Groups of more than ``LINES_PER_TASK`` lines as several, one for each two parts of the lines."""
+    sizes = groups.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > LINES_PER_TASK)
+    parts = F.least(F.ceil(F.col("n") * 2 / LINES_PER_TASK), F.lit(MOST_PARTS)).cast("int")
+    big = small_side(sizes.select("name", parts.alias("parts")))
+    own = F.pmod(F.xxhash64("line_hash"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("own"))
+    names = F.transform(others, lambda i: F.xxhash64("name", F.least(i, "own"), F.greatest(i, "own")))
+    several = groups.join(big, "name").withColumn("own", own).select(F.explode(names).alias("name"), "line_hash")
+    return groups.join(big, "name", "left_anti").unionByName(several)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc`` (all columns), ``text`` and the two columns that name a document."""
     df = packed(docs).withColumn("text", whole_text("doc.text"))
@@ -258,7 +390,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     groups = settle(groups.distinct(), "groups")
     places = groups.select("line_hash").distinct().join(first, "line_hash").select("line_hash", "place.*")
     texts = settle(fetched(docs, places), "line-texts")
-    members = groups.join(texts, "line_hash").select("name", "line_hash", "line")
+    members = dealt(groups).join(texts, "line_hash").select("name", "line_hash", "line")
     edges = members.repartition("name").sortWithinPartitions("name").mapInArrow(verify_tasks, "a long, b long")
     found = components(edges)
 
