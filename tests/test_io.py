@@ -115,6 +115,34 @@ def test_json_array_is_whole(spark, tmp_path):
     assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))) == []
 
 
+def test_json_arrays_are_bounded_and_whole(spark, tmp_path, monkeypatch):
+    def records(name):
+        files = [json.loads(p.read_text(encoding="utf-8")) for p in (tmp_path / name).glob("part-*")]
+        return max(map(len, files)), sorted(r["id"] for rows in files for r in rows)
+
+    monkeypatch.setattr(sk, "ROWS_PER_ARRAY", 50)
+    df = spark.range(1_200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("é\n\"],["), "id").alias("diet"))
+    sk.write_json_arrays(df, str(tmp_path / "rows"))
+    most, ids = records("rows")
+    assert most <= 60 and ids == sorted(map(str, range(1_200)))
+    out = tasks.annotated_tasks(spark, str(tmp_path / "rows"), array_file=True)
+    assert len(out.inputFiles()) == 24
+    assert sorted(json.loads(r.record)["diet"] for r in out.collect()) == sorted(f'é\n"],[{i}' for i in range(1_200))
+    monkeypatch.setattr(sk, "CHARS_PER_ARRAY", 400)
+    sk.write_json_arrays(df, str(tmp_path / "chars"))
+    assert records("chars")[0] <= 25 and records("chars")[1] == ids
+    sk.write_json_arrays(df.where("false"), str(tmp_path / "none"))
+    assert tasks.annotated_tasks(spark, str(tmp_path / "none"), array_file=True).count() == 0
+
+
+def test_annotated_query_reads_bounded_arrays(spark, monkeypatch):
+    from threadloom.queries import annotation
+
+    monkeypatch.setattr(sk, "ROWS_PER_ARRAY", 10)
+    out = annotation.annotated(spark, "/root/testdata/sf0.001", array_file=True)
+    assert len(out.inputFiles()) == -(-out.count() // 10) > 1
+
+
 def test_append_keeps_the_newest_copy(spark, tmp_path):
     path = str(tmp_path / "store")
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "id string, v int")

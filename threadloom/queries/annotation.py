@@ -9,7 +9,7 @@ from threadloom.functions.labels import canonical_label
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
 from threadloom.session import scratch_path
-from threadloom.sinks.tables import write_json_array, write_json_lines
+from threadloom.sinks.tables import write_json_arrays, write_json_lines
 from threadloom.sources import tasks
 
 # Seven shapes a record can have, by document number:
@@ -22,7 +22,7 @@ LABEL = f"CASE WHEN lang = 'es' THEN 'off-topic' ELSE sentiment END"
 
 
 def annotated(spark, sf, array_file=False):
-    """Labelled documents as annotation records, written and read as JSON lines or as one array."""
+    """Labelled documents as annotation records, written and read as JSON lines or as files of one array each."""
     word = F.when(F.col("lang") == "es", F.lit("off-topic")).otherwise(F.col("sentiment"))
 
     def choice(value, name="sentiment", kind="choices"):
@@ -53,7 +53,7 @@ def annotated(spark, sf, array_file=False):
         F.lit("2024-01-01").alias("created_at"),
     )
     path = scratch_path(spark, "tasks")
-    (write_json_array if array_file else write_json_lines)(rows, path)
+    (write_json_arrays if array_file else write_json_lines)(rows, path)
     return tasks.annotated_tasks(spark, path, array_file)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.operators.threads import latest_per_key
+from threadloom.session import settle
+
+# What an array file of several has on average at most.
+ROWS_PER_ARRAY, CHARS_PER_ARRAY = 1_000, 8_000_000
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
@@ -47,13 +52,18 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def json_rows(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
 def write_json_array(df: DataFrame, path: str) -> None:
     """One JSON array in one file, an element to a line, as labelling tools take it.
 
     The file is one task's work by definition; its rows pass through, sorted on
-    disk if need be, and are never held together. Lines scale without that.
+    disk if need be, and are never held together. Lines and ``write_json_arrays``
+    scale without that.
     """
-    rows = df.select(F.lit(1).alias("part"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows = df.select(F.lit(1).alias("part"), json_rows(df).alias("value"))
     marks = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string")
     ordered = rows.unionByName(marks).repartition(1).sortWithinPartitions("part")
     # The opening mark is row 0 and the first element row 1.
@@ -62,6 +72,29 @@ def write_json_array(df: DataFrame, path: str) -> None:
     numbered.select(F.concat(F.when(later, ",").otherwise(""), "value").alias("value")).write.text(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """All rows in as many files as they need, each one JSON array of bounded size, an element to a line."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            values = []
+            for value in batch.column(0).to_pylist():
+                values.append(before + value)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], ["value"])
+
+    # Read twice, to be counted and dealt to files.
+    rows = settle(df.select(json_rows(df).alias("value")), "json-rows")
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("value").cast("long"))).first()
+    if not n:
+        write_json_array(df, path)
+        return
+    files = max(-(-n // ROWS_PER_ARRAY), -(-chars // CHARS_PER_ARRAY))
+    rows.repartition(files).mapInArrow(tasks, "value string").write.text(path)
+
+
 def load_log(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, row_count, ingested_at): one line per loaded table."""
     counts = [

@@ -11,8 +11,9 @@ def annotated_tasks(spark: SparkSession, path: str | list[str], array_file: bool
     """Annotated tasks, one per line, or one JSON array per file.
 
     ``record`` has the whole task as text, with every key it came with; ``id``,
-    ``data`` and ``annotations`` are what the label functions need of it. An
-    array file is parsed by one task; keep big exports as lines.
+    ``data`` and ``annotations`` are what the label functions need of it. Each
+    array file is parsed by one task, as one value; keep big exports as several
+    files, as ``write_json_arrays`` makes them, or as lines.
     """
     if array_file:
         files = spark.read.text(path, wholetext=True)
