@@ -90,6 +90,19 @@ def test_every_link_of_up_to_three_bits_is_found(spark):
     assert mine == union_find(fps, edges)
 
 
+def test_a_long_run_is_never_searched_whole(monkeypatch):
+    rnd = np.random.default_rng(4)
+    fps = rnd.integers(0, 1 << 41, 5_000, dtype=np.uint64)  # one exact segment, else far apart
+    flips = np.uint64(1) << rnd.integers(0, 41, (3, 2_000)).astype(np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:2_000] ^ flips[0] ^ flips[1] ^ flips[2]]))
+    sizes, plain = [], simhash.forest
+    monkeypatch.setattr(simhash, "forest", lambda x: sizes.append(len(x)) or plain(x))
+    found = np.concatenate(simhash.linked(np.zeros(len(fps), np.int64), fps), axis=1).T.tolist()
+    assert max(sizes, default=0) < 200
+    nodes = fps.tolist()
+    assert union_find(nodes, found) == union_find(nodes, plain(fps))
+
+
 def test_one_of_each_group_stays(spark, edge):
     kept = simhash.keep_first(edge)
     assert kept.columns == edge.columns

@@ -15,7 +15,9 @@ first segment and all keys of the second, the other side the other way round.
 
 Keys are shuffled, sorted in their tasks and read in runs; every candidate is
 checked bit by bit. Runs longer than ``LONG_RUN`` are searched breadth first
-and give a spanning forest instead of all pairs. Copies fall together before,
+and give a spanning forest instead of all pairs. Runs longer than ``SPLIT_RUN``
+are sorted once for each quarter of the bits that vary in them: three errors
+leave one quarter alone, so only what agrees in a quarter is compared. Copies fall together before,
 as all of this works on distinct fingerprints.
 
 Null texts count as empty; texts without a word have fingerprint zero and link
@@ -45,6 +47,7 @@ HASHES_PER_BLOCK = 1 << 16
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 LONG_RUN = 32
+SPLIT_RUN = 1_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -161,7 +164,17 @@ def forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
             left = left[~close]
 
 
-def linked(keys: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
+def quarters(fps: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of a long run of distinct fingerprints, connected like those that link."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [1 << i for i in range(64) if varying >> i & 1]
+    for part in range(MAX_BITS + 1):
+        keys = fps & np.uint64(sum(bits[part :: MAX_BITS + 1]))
+        order = np.argsort(keys, kind="stable")
+        yield from linked(keys[order], fps[order], len(fps))
+
+
+def linked(keys: np.ndarray, fps: np.ndarray, split: int = SPLIT_RUN) -> list[np.ndarray]:
     """Pairs of fingerprints that link, from whole runs of equal keys; connected alike, though not all of them."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
@@ -172,7 +185,11 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
         close = (k[:-step] == k[step:]) & (a != b) & (np.bitwise_count(a ^ b) <= MAX_BITS)
         found.append(np.stack([a[close], b[close]]))
     for start, size in zip(starts[sizes > LONG_RUN], sizes[sizes > LONG_RUN]):
-        pairs = np.array(list(forest(np.unique(fps[start : start + size]))), dtype=np.uint64)
+        run = np.unique(fps[start : start + size])
+        if len(run) > split:
+            found.extend(quarters(run))
+            continue
+        pairs = np.array(list(forest(run)), dtype=np.uint64)
         found.append(pairs.reshape(-1, 2).T)
     return found
 
