@@ -259,5 +259,5 @@ def test_pipeline_is_its_stages(spark, documents):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, fingerprints, language, line_dedup, packing, periodic_runs, pii, quality_model, quality_rules, secret_scan, simhash
+from threadloom.llm import bpe, collocations, fingerprints, language, line_dedup, packing, periodic_runs, pieces, pii, quality_model, quality_rules
+from threadloom.llm import secret_scan, simhash
 from threadloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -63,10 +64,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -78,7 +87,9 @@ QUERIES: dict[str, Run] = {
     "op8_pii": op8_pii,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_sentencepiece": op13_sentencepiece,
 }
-# Hash functions, models and packings of the operators have no SQL twin; tests/llm holds them against plain versions.
-ORACLES: dict[str, str] = {}
+# Hash functions, models, tokens and packings of the operators have no SQL twin; tests/llm holds them against plain versions.
+ORACLES: dict[str, str] = {"op11_collocations": collocations.SQL}
