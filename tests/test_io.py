@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 import zstandard
@@ -8,6 +9,7 @@ from threadloom.functions.annotations import TASK_SCHEMA
 from threadloom.plans.thread_export import export_threads, load_dumps
 from threadloom.sinks import tables as sk
 from threadloom.sources import dumps, tables, tasks
+from threadloom.sources.arrays import array_records
 from threadloom.streaming.incremental import score_new_files
 
 POSTS = [
@@ -135,6 +137,43 @@ def test_json_arrays_are_bounded_and_whole(spark, tmp_path, monkeypatch):
     assert tasks.annotated_tasks(spark, str(tmp_path / "none"), array_file=True).count() == 0
 
 
+NASTY = ["}", '{"a": [', "\\", 'é\n"},{"', '\\"}', "", "]}]", '"', "\\u007d {", "\t\\\\\"]"]
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into ranges of some thousand bytes."""
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(key, "2000b")
+    yield
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("layout", [{}, {"indent": 4}, {"separators": (",", ":")}, {"ensure_ascii": False, "indent": 1}])
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, small_ranges, layout):
+    rnd = random.Random(len(layout))
+    rows = [
+        {"id": i, "text": "".join(rnd.choices(NASTY, k=rnd.randint(0, 8))), "nested": [{"x": [{}, {"y": NASTY[i % 10]}]}] * rnd.randint(0, 3), NASTY[i % 10]: None}
+        for i in range(300)
+    ]
+    # Records over many ranges, and elements that aren't records.
+    rows[7]["text"], rows[200]["nested"] = "long }" * 1700, [{"k": j} for j in range(900)]
+    mixed = [*rows[:100], 5, "te}xt{", [1, {"in": "a list"}, [{}] * 900], None, *rows[100:]]
+    (tmp_path / "export.json").write_text("\n " + json.dumps(mixed, **layout) + "\n", encoding="utf-8")
+    (tmp_path / "other.json").write_text(json.dumps(rows[:5], **layout), encoding="utf-8")
+    out = array_records(spark, str(tmp_path / "*.json"))
+    assert spark.read.text(str(tmp_path / "export.json"), lineSep="}").rdd.getNumPartitions() > 10
+    found = sorted((json.loads(r.record) for r in out.collect()), key=lambda r: (r["id"], str(r)))
+    assert found == sorted(rows + rows[:5], key=lambda r: (r["id"], str(r)))
+
+
+def test_arrays_without_records(spark, tmp_path):
+    for name, content in (("a", "[]"), ("b", ""), ("c", " [ 1, \"}\" ] "), ("d", '{"not": "an array"}')):
+        (tmp_path / f"{name}.json").write_text(content)
+    assert array_records(spark, str(tmp_path)).count() == 0
+
+
 def test_annotated_query_reads_bounded_arrays(spark, monkeypatch):
     from threadloom.queries import annotation
 

@@ -4,9 +4,11 @@ import statistics
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from threadloom.operators import features as ft, metrics as mt, models as md, profiling as pr, threads as th
+from threadloom.operators import features as ft, metrics as mt, models as md, profiling as pr, softmax, threads as th
 from threadloom.session import small_side
 
 
@@ -56,8 +58,13 @@ def test_vocabulary_is_frozen_and_vectors_have_length_one(spark, reviews):
 
 def test_sweep_curve_and_adaptation_run(reviews, vectors):
     train, val = reviews.where("split = 'train'"), reviews.where("split = 'val'")
-    sweep = md.vocabulary_sweep(train, val, [3, 12], max_iter=10)
-    assert {r["matrix_columns"] for r in sweep.collect()} == {3, 12}
+    sweep, fitted = md.vocabulary_sweep(train, val, [3, 12], 3)
+    rows = {r["matrix_columns"]: r for r in sweep.collect()}
+    assert set(rows) == {3, 12} and rows[12]["accuracy"] > 0.9 and rows[12]["matrix_rows"] == train.count()
+    assert all(fits.converged() for _, fits in fitted)
+    # A start from the smaller vocabulary ends where any other start does.
+    fresh = softmax.fit(fitted[1][0], 12, 3)
+    assert fresh.losses[0] == pytest.approx(fitted[1][1].losses[0], abs=1e-9)
     curve = md.learning_curve(
         vectors.where("split = 'train'").select("id", "label", "features"), ["id"],
         lambda rows: md.logistic_regression(rows, max_iter=5), ["1/2", "1"], k=2,
@@ -66,7 +73,99 @@ def test_sweep_curve_and_adaptation_run(reviews, vectors):
     verdict = mt.fit_verdict(mt.curve_summary(curve)).first()
     assert verdict["verdict"] in {"overfit", "underfit", "well fitted"}
     parts = [vectors.where(f"split = '{s}'").select("id", "label", "features") for s in ("train", "val", "train", "test")]
-    assert -1 <= md.adapt_by_refit(*parts, max_iter=5)[2].first()["gain"] <= 1
+    assert -1 <= md.adapt_by_refit(*parts, 3)[2].first()["gain"] <= 1
+
+
+def test_refit_starts_where_the_base_model_ended(vectors):
+    train, val = vectors.where("split = 'train'"), vectors.where("split = 'val'")
+    base, refit, _ = md.adapt_by_refit(train, val, train, val, 3)
+    assert base.converged() and refit.converged() and base.iterations[0] > 3 and refit.iterations == [0]
+    base, refit, scores = md.adapt_by_refit(train, val, train.where("false"), val, 3)
+    assert np.array_equal(base.coefficients[0], refit.coefficients[0]) and scores.first()["gain"] == 0
+    blocks = softmax.blocked(train.where("id % 4 = 0"), "label", "features")
+    cold, warm = softmax.fit(blocks, 8, 3), softmax.fit(blocks, 8, 3, start=base.coefficients)
+    assert warm.losses[0] == pytest.approx(cold.losses[0], abs=1e-10)
+
+
+def plain_loss(rows, point, c):
+    """The objective row by row."""
+    total = sum(w for _, _, w in rows)
+    loss = 0.0
+    for label, x, w in rows:
+        margins = x @ point[:-1] + point[-1]
+        loss += w * (np.log(np.exp(margins - margins.max()).sum()) + margins.max() - margins[label])
+    return (loss + (point[:-1] ** 2).sum() / (2 * c)) / total
+
+
+def test_blocks_are_bounded(monkeypatch):
+    starts, places = np.arange(0, 101) * 5, np.arange(500)
+    assert softmax.borders(starts, places) == [(0, 100)]
+    monkeypatch.setattr(softmax, "BLOCK_ROWS", 17)
+    assert [hi - lo for lo, hi in softmax.borders(starts, places)] == [17] * 5 + [15]
+    monkeypatch.setattr(softmax, "BLOCK_CELLS", 100)
+    found = softmax.borders(starts, places)
+    assert found[0][0] == 0 and found[-1][1] == 100 and all((hi - lo) ** 2 * 5 <= 100 for lo, hi in found)
+
+
+def test_fits_are_optimal_and_share_a_scan(spark, vectors):
+    weights = F.array(F.lit(1.0), F.when(F.col("id") % 3 == 0, 2.0).otherwise(0.5), F.when(F.col("id") < 30, 1.0).otherwise(0.0), F.lit(0.0))
+    blocks = softmax.blocked(vectors.repartition(3), "label", "features", weights)
+    assert blocks.agg(F.sum("n")).first()[0] == vectors.count() and blocks.count() == 3
+    fits = softmax.fit(blocks, 8, 3, c=0.5)
+    assert fits.converged() and fits.iterations[3] == 0
+    collected = [(int(r.label), r.features.toArray(), r.id) for r in vectors.collect()]
+    own = [lambda i: 1.0, lambda i: 2.0 if i % 3 == 0 else 0.5, lambda i: float(i < 30)]
+    rng = np.random.default_rng(0)
+    for m, weight in enumerate(own):
+        rows = [(label, x, weight(i)) for label, x, i in collected if weight(i)]
+        best = plain_loss(rows, fits.coefficients[m], 0.5)
+        assert best == pytest.approx(fits.losses[m], abs=1e-12)
+        assert all(plain_loss(rows, fits.coefficients[m] + 1e-3 * rng.normal(size=(9, 3)), 0.5) > best for _ in range(20))
+    ((fitted, observed), *_) = softmax.moments(blocks, fits, 0.5)
+    assert np.abs(fitted - observed).max() <= 1e-6 * observed[-1].sum()
+
+
+def test_fit_agrees_with_the_public_estimator(vectors):
+    train = vectors.where("split = 'train'")
+    public = md.logistic_regression(train, max_iter=1000)
+    public_coefficients = np.vstack([public.coefficientMatrix.toArray().T, public.interceptVector.toArray()])
+    fits = softmax.fit(softmax.blocked(train, "label", "features"), 8, 3)
+    # Intercepts are free up to a constant.
+    public_coefficients[-1] -= public_coefficients[-1].mean()
+    own = fits.coefficients[0].copy()
+    own[-1] -= own[-1].mean()
+    assert own == pytest.approx(public_coefficients, abs=2e-3)
+    both = public.transform(vectors).withColumn("own", softmax.predictions("features", fits.coefficients)[0])
+    assert both.where("own <> prediction").count() == 0
+    near = both.select(vector_to_array("probability").alias("a"), softmax.class_probabilities("features", fits.coefficients).alias("b"))
+    assert all(r.a == pytest.approx(r.b, abs=2e-3) for r in near.collect())
+
+
+def test_curve_in_one_pass_has_the_scores_of_single_fits(vectors):
+    train = vectors.where("split = 'train'").select("id", "label", "features")
+
+    class Fitted:
+        """A model of one's own fit, as the curve of single fits takes it."""
+
+        def __init__(self, rows):
+            self.fits = softmax.fit(softmax.blocked(rows, "label", "features"), 8, 3)
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", softmax.predictions("features", self.fits.coefficients)[0])
+
+    single = md.learning_curve(train, ["id"], Fitted, ["1/4", "1"], k=2)
+    together, _, fits = md.curve_in_one_pass(train, ["id"], ["1/4", "1"], 2, 3)
+    assert fits.converged() and len(fits.losses) == 4
+    assert sorted(map(tuple, together.collect())) == [pytest.approx(r) for r in sorted(map(tuple, single.select(together.columns).collect()))]
+
+
+def test_rows_without_terms_and_dense_vectors(spark):
+    rows = [(0.0, Vectors.dense([0.0, 0.0])), (1.0, Vectors.sparse(2, [], [])), (0.0, Vectors.dense([1.0, 0.0])), (None, Vectors.dense([1.0, 0.0]))]
+    df = spark.createDataFrame(rows, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
+    fits = softmax.fit(softmax.blocked(df, "label", "features"), 2, 2)
+    assert fits.converged() and df.select(softmax.predictions("features", fits.coefficients)[0]).count() == 4
+    nothing = softmax.blocked(df.where("false"), "label", "features")
+    assert softmax.fit(nothing, 2, 2, start=fits.coefficients).coefficients[0] is fits.coefficients[0]
 
 
 @pytest.fixture(scope="module")

@@ -33,6 +33,23 @@ def crosstab_percent(df: DataFrame, row: str, col: str, values: Sequence[str]) -
     return counts.select(row, *[percent(F.col(str(v)), total).alias(str(v)) for v in values])
 
 
+def label_report(df: DataFrame, label: str, topic: str) -> DataFrame:
+    """(level, topic, label, n, pct) from one scan: all rows, rows by label, by topic, and by label within a topic.
+
+    Grouping sets count every level in the pass that reads the rows. A percentage
+    is that of all rows, within a topic that of the topic's.
+    """
+    counts = df.groupingSets([[], [F.col(label)], [F.col(topic)], [F.col(topic), F.col(label)]], F.col(topic), F.col(label)).agg(
+        F.grouping_id().alias("_gone"), F.count("*").alias("n")
+    )
+    # One row per topic and label is left.
+    every = F.max(F.when(F.col("_gone") == 3, F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    of_topic = F.max(F.when(F.col("_gone") == 1, F.col("n"))).over(Window.partitionBy(topic))
+    whole = F.when(F.col("_gone") == 0, of_topic).otherwise(every)
+    level = F.element_at(F.array(*[F.lit(x) for x in ("topic and label", "topic", "label", "all")]), F.col("_gone").cast("int") + 1)
+    return counts.select(level.alias("level"), F.col(topic).alias("topic"), F.col(label).alias("label"), "n", percent(F.col("n"), whole).alias("pct"))
+
+
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, columns and nulls per column, in one pass: a row per column."""
     nulls = df.agg(F.count("*").alias("_rows"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns])

@@ -1,9 +1,15 @@
 """Lexicon sentiment: one compound score in [-1, 1] per text.
 
-The five adjustments follow Hutto & Gilbert (2014): degree words, negation
-within three words, a contrast word, capitals, and punctuation. Every number
+The adjustments follow Hutto & Gilbert (2014): degree words, negation within
+three words, a contrast word, capitals, punctuation, and phrases. Every number
 and word list is a parameter of ``Scheme``; the lexicon is an input table
 (token, valence).
+
+With ``Scheme.phrases`` (the default) a word's value goes through the published
+steps one by one: nearest word before it first, degree added, then negation; then
+idioms and degree phrases; then "least". Words of the lexicon neither strengthen
+nor negate. Without phrases degrees are added up and negations multiplied at once,
+and degree words of the lexicon don't count as such.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 # The degree words and negations that Hutto & Gilbert (2014) published with their scheme, in their order.
-# Entries of two words are part of the lists; words are looked up one by one, so they match nothing here.
+# Entries of two words are degree phrases.
 STRONGER = (
     "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply", "effing",
     "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme", "extremely",
@@ -51,11 +57,42 @@ NEGATORS = (
     "despite",
 )
 
+# The idioms that were published with a value of their own.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
+
 
 def _strengths(up: Sequence[str], down: Sequence[str], step: float = 0.293) -> dict[str, float]:
     return {**{w: step for w in up}, **{w: -step for w in down}}
 
 
+@dataclass(frozen=True)
+class Phrases:
+    """Rules on several words in a row, all replaceable.
+
+    An idiom of up to three words gives its value to a word in it, or right or
+    one word before it. "Never so" and "never this" strengthen, "without doubt"
+    doesn't negate, "least" negates unless "at" or "very" stand before it, "no"
+    negates and has no value before a word of the lexicon.
+    """
+
+    idioms: Mapping[str, float] = field(default_factory=lambda: dict(IDIOMS))
+    never: str = "never"
+    so: Sequence[str] = ("so", "this")
+    strengthened: float = 1.25
+    without: str = "without"
+    doubt: str = "doubt"
+    least: str = "least"
+    spared: Sequence[str] = ("at", "very")
+    no: str = "no"
+    alternatives: Sequence[str] = ("or", "nor")
+    # A word without a value before the other one: part of a degree phrase.
+    unvalued: tuple[str, str] = ("kind", "of")
+    contraction: str = "n't"
+
+
 @dataclass(frozen=True)
 class Scheme:
     """Fixed values of the scoring scheme, all replaceable."""
@@ -74,6 +111,7 @@ class Scheme:
     questions: int = 3
     many_questions: float = 0.96
     alpha: float = 15.0
+    phrases: Phrases | None = field(default_factory=Phrases)
 
 
 DEFAULT_SCHEME = Scheme()
@@ -153,12 +191,106 @@ def _contribution(
     factor = F.lit(1.0)
     for n in range(len(before), 0, -1):
         factor = F.when(flips == n, F.lit(scheme.negation**n)).otherwise(factor)
+    return _whole_units(out * factor, at, scheme)
+
+
+def _whole_units(value: Column, at: Column, scheme: Scheme) -> Column:
     side = (
         F.when(at < F.col("_turn"), F.lit(scheme.before_contrast))
         .when(at > F.col("_turn"), F.lit(scheme.after_contrast))
         .otherwise(F.lit(1.0))
     )
-    return F.floor(out * factor * side * float(UNITS) + 0.5).cast("bigint")
+    return F.floor(value * side * float(UNITS) + 0.5).cast("bigint")
+
+
+def _found(word: Column, members: Sequence[str]) -> Column:
+    """Whether the word is one of the members; a missing word is none."""
+    return F.coalesce(word.isin(list(members)), F.lit(False)) if members else F.lit(False)
+
+
+def _step(hits: DataFrame, distance: int, weight: float, scheme: Scheme) -> DataFrame:
+    """The value of each hit after the word at a distance before it: its degree is added, then it may negate."""
+    rules, value = scheme.phrases, F.col("_value")
+    before = [F.lower(F.col(f"_before{d}")) for d in range(1, distance + 1)]
+    own, shown = before[-1], F.col(f"_before{distance}")
+    degree = _sets(own, _by_value({w: x for w, x in scheme.boosters.items() if " " not in w}), 0.0)
+    degree = F.when(own.isNotNull(), degree).otherwise(F.lit(0.0))
+    loud = F.when(F.col("_mixed") & _all_capitals(shown), F.when(value > 0, scheme.capitals).otherwise(-scheme.capitals)).otherwise(F.lit(0.0))
+    added = F.when(degree != 0, (F.when(value < 0, -degree).otherwise(degree) + loud) * weight).otherwise(F.lit(0.0))
+    hits = hits.withColumn("_raised", value + added)
+    raised = F.col("_raised")
+    negated = _found(own, scheme.negators) | F.coalesce(F.contains(own, F.lit(rules.contraction)), F.lit(False))
+    turned = F.when(negated, raised * scheme.negation).otherwise(raised)
+    between = before[:-1]
+    if between:
+        so = _found(own, [rules.never]) & _found(between[-1], rules.so)
+        if distance > 2:
+            # As published: at this distance "so" or "this" right before the word is enough.
+            so = so | _found(before[0], rules.so)
+        doubt = _found(between[0], [rules.doubt])
+        for word in between[1:]:
+            doubt = doubt | _found(word, [rules.doubt])
+        turned = F.when(so, raised * rules.strengthened).when(_found(own, [rules.without]) & doubt, raised).otherwise(turned)
+    counts = own.isNotNull() & ~F.col(f"_known{distance}")
+    return hits.withColumn("_value", F.when(counts, turned).otherwise(value))
+
+
+def _of_idioms(hits: DataFrame, scheme: Scheme) -> DataFrame:
+    """The value of an idiom around the hit, and degree phrases before it; only after three words, as published."""
+    word = {0: F.lower(F.col("_shown"))}
+    word |= {-d: F.lower(F.col(f"_before{d}")) for d in (1, 2, 3)} | {d: F.lower(F.col(f"_after{d}")) for d in (1, 2)}
+
+    def phrase(first: int, last: int) -> Column:
+        # Null if a word is missing.
+        return F.concat(*[c for at in range(first, last + 1) for c in ((F.lit(" "),) if at > first else ()) + (word[at],)])
+
+    def valued(places: Sequence[tuple[int, int]], table: Mapping[str, float], default: Column) -> Column:
+        out = None
+        for value, members in _by_value(table).items():
+            for place in places:
+                out = (F.when if out is None else out.when)(_found(phrase(*place), members), F.lit(value))
+        return default if out is None else out.otherwise(default)
+
+    def first_match(places: Sequence[tuple[int, int]], default: Column) -> Column:
+        for place in reversed(places):
+            default = valued([place], scheme.phrases.idioms, default)
+        return default
+
+    # Of phrases that begin with the hit the longer one counts, then the shorter one, then those that end with or before it.
+    idiom = first_match([(0, 2), (0, 1), (-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)], F.col("_value"))
+    degrees = {w: x for w, x in scheme.boosters.items() if " " in w}
+    for place in ((-3, -1), (-3, -2), (-2, -1)):
+        idiom = idiom + valued([place], degrees, F.lit(0.0))
+    counts = F.col("_before3").isNotNull() & ~F.col("_known3")
+    return hits.withColumn("_value", F.when(counts, idiom).otherwise(F.col("_value")))
+
+
+def _published(hits: DataFrame, lexicon: DataFrame, small: bool, scheme: Scheme) -> tuple[DataFrame, Column]:
+    """Hits with all that the published steps need, and the whole units each of them adds."""
+    rules = scheme.phrases
+    # Whether the words around a hit are in the lexicon; where there is none, the row's number stands in for it.
+    for name, flag in [(f"_before{d}", f"_known{d}") for d in (1, 2, 3)] + [("_after1", "_known_after")]:
+        key = F.coalesce(F.lower(F.col(name)), F.concat(F.lit("\0"), F.col("_row").cast("string")))
+        known = lexicon.select(F.col("token").alias("_key"), F.lit(True).alias(flag))
+        hits = hits.withColumn("_key", key).join(F.broadcast(known) if small else known, "_key", "left").drop("_key")
+        hits = hits.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    before = {d: F.lower(F.col(f"_before{d}")) for d in (1, 2, 3)}
+    token, valence = F.col("token"), F.col("valence")
+    no = _found(before[1], [rules.no]) | _found(before[2], [rules.no])
+    no = no | (_found(before[3], [rules.no]) & _found(before[1], rules.alternatives))
+    start = F.when(no, valence * scheme.negation).when(_found(token, [rules.no]) & F.col("_known_after"), F.lit(0.0)).otherwise(valence)
+    hits = hits.withColumn("_value", start)
+    loud = F.when(F.col("_value") > 0, scheme.capitals).otherwise(-scheme.capitals)
+    loud = F.when(F.col("_mixed") & _all_capitals(F.col("_shown")), loud).otherwise(F.lit(0.0))
+    hits = hits.withColumn("_value", F.col("_value") + loud)
+    for distance, weight in enumerate(scheme.damping, start=1):
+        hits = _step(hits, distance, weight, scheme)
+    hits = _of_idioms(hits, scheme)
+    least = _found(before[1], [rules.least]) & ~F.col("_known1") & ~_found(before[2], rules.spared)
+    value = F.when(least, F.col("_value") * scheme.negation).otherwise(F.col("_value"))
+    silent = _found(token, list(scheme.boosters)) | (_found(token, rules.unvalued[:1]) & _found(F.lower(F.col("_after1")), rules.unvalued[1:]))
+    hits = hits.withColumn("_value", F.when(silent, F.lit(0.0)).otherwise(value))
+    return hits, _whole_units(F.col("_value"), F.col("_at"), scheme)
 
 
 def _emphasis(text: Column, scheme: Scheme) -> Column:
@@ -202,7 +334,7 @@ def score_texts(
     lexicon, boosters, small = _prepared(lexicon, scheme, broadcast_entries)
     kept = [c for c in df.columns if c != out]
     own = {f"_own{i}": F.col(f"`{c}`") for i, c in enumerate(kept)}
-    reach = range(1, len(scheme.damping) + 1)
+    reach, ahead = range(1, len(scheme.damping) + 1), range(1, 3 if scheme.phrases else 1)
     text, words = F.col("_text"), F.col("_words")
     rows = df.select(*[c.alias(n) for n, c in own.items()], null_text(F.col(text_col)).alias("_text"))
     rows = rows.select(
@@ -217,6 +349,8 @@ def score_texts(
         _first_contrast(F.col("_bare"), scheme).alias("_turn"), _mixed_case(text).alias("_mixed"),
     )
     shifted = [F.concat(*[none] * d, words).alias(f"_before{d}") for d in reach]
+    # A zip reaches as far as its longest array, here the words after the last one; they have no word and go.
+    shifted += [F.slice(words, d + 1, F.size(words)).alias(f"_after{d}") for d in ahead]
     placed = split.select(
         *own, "_row", "_emphasis", "_turn", "_mixed", F.posexplode_outer(F.arrays_zip(words, *shifted)).alias("_at", "_place")
     )
@@ -224,15 +358,16 @@ def score_texts(
     shown = placed.select(
         *[F.when(marker, F.col(n)).alias(n) for n in own], "_row", F.when(marker, F.col("_emphasis")).alias("_emphasis"),
         marker.alias("_marker"), "_turn", "_mixed", (F.col("_at") - 1).alias("_at"), F.col("_place._words").alias("_shown"),
-        *[F.col(f"_place._before{d}") for d in reach],
+        *[F.col(f"_place._before{d}") for d in reach], *[F.col(f"_place._after{d}") for d in ahead],
     ).withColumn("token", F.lower("_shown"))
     shown = shown.where("_marker or token is not null")
     hits = shown.join(F.broadcast(lexicon) if small else lexicon, "token", "left").where("_marker or valence is not null")
-    # The words before are looked at for hits only.
-    hits = hits.withColumns({f"_before{d}": F.lower(F.col(f"_before{d}")) for d in reach})
-    amount = _contribution(
-        F.col("valence"), F.col("_shown"), F.col("_at"), [F.col(f"_before{d}") for d in reach], boosters, scheme
-    )
+    # The words around are looked at for hits only.
+    if scheme.phrases:
+        hits, amount = _published(hits, lexicon, small, scheme)
+    else:
+        before = [F.lower(F.col(f"_before{d}")) for d in reach]
+        amount = _contribution(F.col("valence"), F.col("_shown"), F.col("_at"), before, boosters, scheme)
     sums = hits.groupBy("_row").agg(
         F.sum(amount).alias("_units"), F.max("_emphasis").alias("_emphasis"),
         *[F.any_value(n, F.lit(True)).alias(n) for n in own],

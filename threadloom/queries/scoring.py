@@ -9,7 +9,7 @@ from threadloom.functions.labels import lookup, topic_of
 from threadloom.functions.text import drop_prefix3
 from threadloom.operators import rules as ru
 from threadloom.operators.sampling import balanced
-from threadloom.operators.sentiment import Scheme, add_sentiment, score_texts
+from threadloom.operators.sentiment import Phrases, Scheme, add_sentiment, score_texts
 from threadloom.operators.threads import best_first, inline_thread_texts
 from threadloom.plans.balance import balance, balance_dumps
 from threadloom.plans.thread_export import export_threads, load_dumps
@@ -19,7 +19,7 @@ from threadloom.queries.sources import EPOCH_SQL, GROUP, document_dumps, write_d
 from threadloom.session import scratch_path, settle
 from threadloom.sinks.tables import write_parquet
 
-SCHEME = Scheme(boosters=st.BOOSTERS, negators=st.NEGATORS, contrast=st.CONTRAST)
+SCHEME = Scheme(boosters=st.BOOSTERS, negators=st.NEGATORS, contrast=st.CONTRAST, phrases=None)
 
 
 def _num(x: float) -> str:
@@ -97,6 +97,79 @@ def sentiment_class(spark, sf):
     return add_sentiment(docs, "text", st.lexicon(spark, sf), scheme=SCHEME).drop("text")
 
 
+# Function words of the invented prose in the roles of the phrases.
+PHRASED = Scheme(
+    boosters=st.BOOSTERS | {"of the": 0.293, "and of the": 0.293, "to the": -0.293}, negators=st.NEGATORS, contrast=st.CONTRAST,
+    phrases=Phrases(
+        idioms={"in the": 2.5, "la de": -1.5, "a of": 0.0, "the the the": 1.0, "to of to": -3.0}, never="that", so=("to", "it"), without="in",
+        doubt="a", least="for", spared=("was", "on"), no="en", alternatives=("le", "die"), unvalued=("by", "this"), contraction="rre",
+    ),
+)
+
+
+def phrase_ctes(rel: str, ident: str, text: str, name: str) -> str:
+    """CTEs ending in ``name`` (sid, compound): the published steps, with the words around each word in columns."""
+    p, rules = f"{name}_", PHRASED.phrases
+    single = {w: v for w, v in PHRASED.boosters.items() if " " not in w}
+    several = {w: v for w, v in PHRASED.boosters.items() if " " in w}
+
+    def lookup_sql(key: str, table, default: str) -> str:
+        cases = " ".join(f"WHEN '{w}' THEN {_num(v)}" for w, v in table.items())
+        return f"CASE {key} {cases} ELSE {default} END"
+
+    def step(d: int) -> str:
+        degree, c = lookup_sql(f"b{d}", single, "0.0e0"), f"c{d} AND mixed"
+        so = f"b{d} = '{rules.never}' AND b{d - 1} IN ({_words(rules.so)})"
+        so = {1: "false", 2: so, 3: f"({so}) OR b1 IN ({_words(rules.so)})"}[d]
+        doubt = " OR ".join([f"b{e} = '{rules.doubt}'" for e in range(1, d)]) or "false"
+        loud = f"CASE WHEN {c} THEN CASE WHEN v > 0 THEN {_num(PHRASED.capitals)} ELSE {_num(-PHRASED.capitals)} END ELSE 0.0e0 END"
+        return f"""{p}raised{d} AS (SELECT *, v + CASE WHEN degree <> 0
+    THEN (CASE WHEN v < 0 THEN -degree ELSE degree END + {loud}) * {_num(PHRASED.damping[d - 1])} ELSE 0.0e0 END AS r
+  FROM (SELECT *, {degree} AS degree FROM {p}step{d - 1})),
+{p}step{d} AS (SELECT * EXCLUDE (v, r, degree), CASE WHEN b{d} IS NULL OR k{d} THEN v WHEN {so} THEN r * {_num(rules.strengthened)}
+    WHEN b{d} = '{rules.without}' AND ({doubt}) THEN r
+    WHEN b{d} IN ({_words(PHRASED.negators)}) OR contains(b{d}, '{rules.contraction}') THEN r * {_num(PHRASED.negation)} ELSE r END AS v
+  FROM {p}raised{d})"""
+
+    def idiom(key: str, default: str) -> str:
+        return f"coalesce({lookup_sql(key, rules.idioms, 'NULL')}, {default})"
+
+    # From the last looked at to the first.
+    value = "v"
+    for key in ("b3 || ' ' || b2", "b3 || ' ' || b2 || ' ' || b1", "b2 || ' ' || b1", "b2 || ' ' || b1 || ' ' || low", "b1 || ' ' || low",
+                "low || ' ' || a1", "low || ' ' || a1 || ' ' || a2"):
+        value = idiom(key, value)
+    for key in ("b3 || ' ' || b2 || ' ' || b1", "b3 || ' ' || b2", "b2 || ' ' || b1"):
+        value = f"({value}) + {lookup_sql(key, several, '0.0e0')}"
+    around = ", ".join(f"lag(low, {d}) OVER w AS b{d}, lag(caps, {d}) OVER w AS c{d}, coalesce(lag(known, {d}) OVER w, false) AS k{d}" for d in (1, 2, 3))
+    plain = sentiment_ctes(rel, ident, text, name)
+    head, tail = plain.split(f"{p}ctx AS")[0], plain[plain.index(f"{p}sums AS") :]
+    no = f"b1 = '{rules.no}' OR b2 = '{rules.no}' OR (b3 = '{rules.no}' AND b1 IN ({_words(rules.alternatives)}))"
+    return rf"""{head}{p}ctx AS (SELECT sid, i, low, caps, valence, {around}, lead(low, 1) OVER w AS a1, lead(low, 2) OVER w AS a2,
+    coalesce(lead(known, 1) OVER w, false) AS ka
+  FROM (SELECT f.*, l.valence, l.token IS NOT NULL AS known FROM {p}flags f LEFT JOIN lexicon l ON f.low = l.token)
+  WINDOW w AS (PARTITION BY sid ORDER BY i)),
+{p}hits AS (SELECT c.*, f.mixed, f.turn, CASE WHEN {no} THEN valence * {_num(PHRASED.negation)}
+    WHEN low = '{rules.no}' AND ka THEN 0.0e0 ELSE valence END AS v0
+  FROM {p}ctx c JOIN {p}facts f ON c.sid = f.sid WHERE valence IS NOT NULL),
+{p}step0 AS (SELECT * EXCLUDE (v0), v0 + CASE WHEN caps AND mixed THEN CASE WHEN v0 > 0 THEN {_num(PHRASED.capitals)}
+    ELSE {_num(-PHRASED.capitals)} END ELSE 0.0e0 END AS v FROM {p}hits),
+{step(1)},
+{step(2)},
+{step(3)},
+{p}said AS (SELECT * EXCLUDE (v), CASE WHEN b3 IS NULL OR k3 THEN v ELSE {value} END AS v FROM {p}step3),
+{p}least AS (SELECT * EXCLUDE (v), CASE WHEN low IN ({_words(PHRASED.boosters)}) OR (low = '{rules.unvalued[0]}' AND coalesce(a1 = '{rules.unvalued[1]}', false)) THEN 0.0e0
+    WHEN b1 = '{rules.least}' AND NOT k1 AND coalesce(b2 NOT IN ({_words(rules.spared)}), true) THEN v * {_num(PHRASED.negation)} ELSE v END AS v FROM {p}said),
+{p}parts AS (SELECT sid, floor(v * CASE WHEN i < turn THEN 0.5e0 WHEN i > turn THEN 1.5e0 ELSE 1.0e0 END * 1e9 + 0.5)::BIGINT AS units FROM {p}least),
+{tail}"""
+
+
+@query("sentiment_phrases", f"WITH {st.LEXICON}, {phrase_ctes('documents', 'doc_id', 'text', 'scores')} SELECT sid AS doc_id, compound FROM scores")
+def sentiment_phrases(spark, sf):
+    docs = st.documents(spark, sf).select("doc_id", "text")
+    return score_texts(docs, "text", st.lexicon(spark, sf), scheme=PHRASED).drop("text")
+
+
 # Rules that match the invented prose, added to the domain rules.
 EXTRA_RULES: ru.Rules = {
     "keto": {"positive": [("the", "andan"), ("ouin",)], "negative": [("der", "und", "tei"), ("la", "eré")]},

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.functions.hashing import hash_split
+from threadloom.functions.hashing import hash_bucket, hash_split
 from threadloom.operators import threads as th
+from threadloom.plans.incremental_threads import merge_load
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
-from threadloom.queries.threads import LABEL_TASKS
+from threadloom.queries.threads import LABEL_TASKS, THREAD_JOIN
 from threadloom.session import scratch_path
-from threadloom.sinks import tables as sk
+from threadloom.sinks import keyed, tables as sk
 
 
 # The second load brings all posts again; only unknown ids may be stored.
@@ -24,6 +25,31 @@ def sink_append_idempotent(spark, sf):
     return spark.read.parquet(path).select("id", "subreddit", "score")
 
 
+def _loads(spark, sf):
+    """Posts and comments in two loads; the second one brings all rows, also those of the first."""
+    posts, comments = st.posts(spark, sf), st.comments(spark, sf)
+    yield posts.where(hash_bucket("id", buckets=2) == 0), comments.where(hash_bucket("id", buckets=3) > 0)
+    yield posts, comments
+
+
+# Both tables lie by post: neither appends nor the thread join shuffle what is stored.
+@query("sink_keyed_threads", THREAD_JOIN)
+def sink_keyed_threads(spark, sf):
+    store = scratch_path(spark, "keyed")
+    for posts, comments in _loads(spark, sf):
+        stored_posts = keyed.append_keyed(posts, f"{store}/posts", "id", ["created_ts"])
+        stored_comments = keyed.append_keyed(comments, f"{store}/comments", "id", ["created_ts"], within="post_id")
+    return th.thread_texts(stored_posts.withColumnRenamed("subreddit", "category"), stored_comments, k=3, min_score=1000)
+
+
+@query("thread_export_incremental", THREAD_JOIN)
+def thread_export_incremental(spark, sf):
+    store = scratch_path(spark, "threads")
+    for posts, comments in _loads(spark, sf):
+        export = merge_load(posts, comments, store, k=3, min_score=1000)
+    return export
+
+
 @query("sink_replace", f"WITH {st.POSTS} SELECT id, title, selftext FROM posts")
 def sink_replace(spark, sf):
     posts = st.posts(spark, sf).select("id", "title", "selftext")

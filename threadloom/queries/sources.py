@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.plans.counted_load import load_counted
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
 from threadloom.session import scratch_path
@@ -107,6 +108,20 @@ def src_dataset_groups(spark, sf):
     return raw.select("id", dataset.alias("dataset"), dumps.dataset_group(dataset).alias("dataset_group"))
 
 
+# Every seventh document's line is cut; the log counts what the write of all data sets has seen.
+@query("load_log_counted", f"""WITH {st.RAW_DOCUMENTS}, c AS (
+  SELECT subreddit AS dataset, count(*) FILTER (id::BIGINT % 7 <> 0) AS good, count(*) FILTER (id::BIGINT % 7 = 0) AS bad FROM raw_documents GROUP BY subreddit)
+SELECT dataset, good, bad, good + bad AS read FROM c
+UNION ALL SELECT '(total)', sum(good)::BIGINT, sum(bad)::BIGINT, sum(good + bad)::BIGINT FROM c""")
+def load_log_counted(spark, sf):
+    docs = st.raw_documents(spark, sf)
+    line = F.to_json(F.struct("id", "subreddit", "title", "selftext"))
+    line = F.when(F.col("id").cast("long") % 7 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
+    raw, store = scratch_path(spark, "raw"), scratch_path(spark, "counted")
+    docs.select(F.concat("subreddit", F.lit("_submissions")).alias("dump"), line.alias("value")).write.partitionBy("dump").text(raw)
+    return load_counted(spark, f"{raw}/{dumps.POST_DUMPS}", dumps.RAW_POST, store)
+
+
 # French and Spanish texts are written in ISO-8859-1, the others in UTF-8.
 @query("src_csv_encoding", r"""
 SELECT doc_id, regexp_replace(text, '[^\x{20}-\x{7e}\x{a1}-\x{ff}]', ' ', 'g') AS comment FROM documents""")

@@ -75,7 +75,7 @@ sample AS (SELECT id, subreddit, {st.TOPIC} AS topic FROM raw_documents),
 kept AS (SELECT t.*, row_number() OVER (PARTITION BY link_id ORDER BY score DESC, id) AS rn FROM raw_turns t
   WHERE regexp_matches(coalesce(body, ''), '\\S') AND body NOT IN ('[deleted]', '[removed]')
     AND link_id IN (SELECT 't3_' || id FROM sample))"""
-PLAIN_SCHEME = Scheme(boosters={}, negators=(), contrast=(), capitals=0.0, exclamation=0.0, question=0.0, many_questions=0.0)
+PLAIN_SCHEME = Scheme(boosters={}, negators=(), contrast=(), capitals=0.0, exclamation=0.0, question=0.0, many_questions=0.0, phrases=None)
 
 # Sentiment of a text without any context rule: the sum of its words' valences.
 PLAIN_TOKENS = r"""SELECT {id} AS sid, CASE WHEN length(bare) > 2 THEN bare ELSE raw END AS tok FROM (

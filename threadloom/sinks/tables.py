@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.operators.threads import latest_per_key
-from threadloom.session import settle
 
-# What an array file of several has on average at most.
+# What an array file of several has at most; a longer record has one to itself.
 ROWS_PER_ARRAY, CHARS_PER_ARRAY = 1_000, 8_000_000
 
 
@@ -24,9 +23,10 @@ def replace_table(df: DataFrame, path: str) -> None:
     write_parquet(df, path, mode="overwrite")
 
 
-def create_table(spark: SparkSession, path: str, schema) -> None:
+def create_table(spark: SparkSession, path: str, schema, *partition_by: str) -> None:
     """An empty table, unless there is one already."""
-    spark.createDataFrame([], schema).write.mode("ignore").option("compression", "zstd").parquet(path)
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("ignore").partitionBy(*partition_by).option("compression", "zstd").parquet(path)
 
 
 def append_new(df: DataFrame, path: str, key: str, newest_first: Sequence[str]) -> None:
@@ -63,8 +63,13 @@ def write_json_array(df: DataFrame, path: str) -> None:
     disk if need be, and are never held together. Lines and ``write_json_arrays``
     scale without that.
     """
-    rows = df.select(F.lit(1).alias("part"), json_rows(df).alias("value"))
-    marks = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string")
+    write_array_file(df.select(json_rows(df).alias("value")), path)
+
+
+def write_array_file(elements: DataFrame, path: str) -> None:
+    """One array of the elements' texts, the column ``value``, in one file."""
+    rows = elements.select(F.lit(1).alias("part"), "value")
+    marks = elements.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string")
     ordered = rows.unionByName(marks).repartition(1).sortWithinPartitions("part")
     # The opening mark is row 0 and the first element row 1.
     numbered = ordered.withColumn("row", F.monotonically_increasing_id())
@@ -73,26 +78,32 @@ def write_json_array(df: DataFrame, path: str) -> None:
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:
-    """All rows in as many files as they need, each one JSON array of bounded size, an element to a line."""
+    """All rows in as many files as they need, each one JSON array of bounded size, an element to a line.
+
+    Arrays are put together by the tasks that hold the rows: nothing is shuffled
+    or written twice.
+    """
+    most_rows, most_chars = ROWS_PER_ARRAY, CHARS_PER_ARRAY
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = "["
+        held, chars = [], 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(held) + "]"], pa.string())], ["value"])
+
         for batch in batches:
-            values = []
             for value in batch.column(0).to_pylist():
-                values.append(before + value)
-                before = ","
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], ["value"])
-
-    # Read twice, to be counted and dealt to files.
-    rows = settle(df.select(json_rows(df).alias("value")), "json-rows")
-    n, chars = rows.agg(F.count("*"), F.sum(F.length("value").cast("long"))).first()
-    if not n:
-        write_json_array(df, path)
-        return
-    files = max(-(-n // ROWS_PER_ARRAY), -(-chars // CHARS_PER_ARRAY))
-    rows.repartition(files).mapInArrow(tasks, "value string").write.text(path)
+                if held and (len(held) == most_rows or chars + len(value) > most_chars):
+                    yield closed()
+                    held, chars = [], 0
+                held.append(value)
+                chars += len(value)
+        if held:
+            yield closed()
+
+    arrays = df.select(json_rows(df).alias("value")).mapInArrow(tasks, "value string")
+    # A row is an array, and the only one of its file.
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def load_log(tables: Mapping[str, DataFrame]) -> DataFrame:
