@@ -268,6 +268,43 @@ def test_phrases_by_plain_counts(spark, edge, least, top):
         assert expected
 
 
+@pytest.mark.parametrize("bits,block_words", [(8, 100), (27, 7)])
+def test_a_small_sieve_and_small_blocks_change_nothing(documents, bits, block_words):
+    """With 256 bits nearly all pairs and triples pass; texts are never cut, whatever the block."""
+    docs = documents.where("length(text) < 3000")
+    blocks = collocations.word_blocks(docs, block_words)
+    tables = collocations.sieve(blocks, 5, bits)
+    assert [len(t) * 8 for t in tables] == [1 << bits] * 2
+    found = collocations.frequencies(collocations.lead_windows(blocks, tables), least=5)
+    counts = Counter()
+    for r in docs.collect():
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            counts.update((r.lang or "und", tuple(words[i : i + n])) for n in range(1, 5) for i in range(len(words) - n + 1))
+    expected = {key: f for key, f in counts.items() if f >= 5}
+    assert {(r.lang, tuple(r.words)): r.f for r in found.where("size(words) > 0").collect()} == expected
+
+
+def test_windows_of_many_words_are_counted_apart():
+    """Numbers so big that four of them don't fit 64 bits."""
+    rnd = np.random.default_rng(3)
+    numbers = np.append(rnd.choice([0, 1, 10**6, 3 * 10**8, -1], 4000), -1)
+    reach, open_still = [], numbers >= 0
+    for _ in range(3):
+        both = np.zeros(len(numbers), bool)
+        both[:-1] = open_still[:-1] & open_still[1:]
+        both &= rnd.random(len(numbers)) < 0.9
+        reach.append(both)
+        open_still = both
+    columns, counts = collocations.counted_windows(numbers, reach)
+    found = dict(zip(zip(*[c.tolist() for c in columns]), counts.tolist()))
+    expected = Counter()
+    for i in np.flatnonzero(numbers >= 0).tolist():
+        n = 1 + next((k for k, r in enumerate(reach) if not r[i]), 3)
+        expected[tuple(numbers[i : i + n].tolist()) + (-1,) * (4 - n)] += 1
+    assert found == expected
+
+
 def test_phrases_agree_with_sql(spark):
     found = __spark_entry__.queries()["op11_collocations"](spark, SF)
     assert check.compare(check.connect(SF), found, collocations.SQL) == ""
