@@ -64,23 +64,40 @@ def normal(line: bytes) -> bytes:
     return line.strip().lower()
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all shingles of the lines, and where each line's begin."""
+def rolled_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles that begin at each character of the lines, where each line begins, and its shingles' number.
+
+    The last characters of a line begin none. A line shorter than a shingle has one, all of it.
+    """
     lengths = np.array([len(x) for x in lines])
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     rolled = points.copy()
     for step in range(1, SHINGLE):
         rolled[:-step] = rolled[:-step] * PRIME + points[step:]
     rolled ^= rolled >> np.uint64(31)
-    hashes = (rolled * PRIME >> np.uint64(32)).astype(np.uint32)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    counts = np.maximum(lengths - SHINGLE + 1, 1)
+    rolled *= PRIME
+    starts = np.cumsum(lengths) - lengths
     for i in np.flatnonzero(lengths < SHINGLE):
-        hashes[starts[i]] = xxhash.xxh32_intdigest(lines[i].encode("utf-8", "surrogatepass"))
+        rolled[starts[i]] = xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass"))
+    return rolled, starts, np.maximum(lengths - SHINGLE + 1, 1)
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles of the lines, and where each line's begin."""
+    rolled, starts, counts = rolled_hashes(lines)
     first = np.cumsum(counts) - counts
     place = np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(starts, counts)
-    return hashes[place], first
+    return (rolled >> np.uint64(32)).astype(np.uint32)[place], first
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """For each line its distinct shingles, as ordered 64-bit hashes."""
+    rolled, starts, counts = rolled_hashes(lines)
+    found = []
+    for start, count in zip(starts.tolist(), counts.tolist()):
+        own = np.sort(rolled[start : start + count])
+        found.append(own[np.append(True, own[1:] != own[:-1])])
+    return found
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -188,21 +205,30 @@ def alike(a: set[str], b: set[str]) -> bool:
     return shared >= SIMILARITY * (low + high - shared)
 
 
-def verified(hashes: list[int], lines: list[str]) -> Iterator[tuple[int, int]]:
+def similar(own: np.ndarray, others: list[np.ndarray]) -> list[bool]:
+    """Which of the others' shingles are similar to a line's."""
+    sizes = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(own, every)
+    at[at == len(own)] = 0
+    shared = np.add.reduceat(own[at] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return (shared >= SIMILARITY * (sizes + len(own) - shared)).tolist()
+
+
+def verified(hashes: list[int], grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the similar lines among the members of a band."""
-    left = [(h, shingles(x)) for h, x in zip(hashes, lines)]
+    left = list(zip(hashes, grams))
     while left:
         border = [left.pop()]
         while border and left:
             at, own = border.pop()
-            apart = []
-            for h, other in left:
-                if alike(own, other):
-                    border.append((h, other))
-                    yield at, h
-                else:
-                    apart.append((h, other))
-            left = apart
+            # Of lines so unequal in length no comparison is needed.
+            near = [i for i, (_, x) in enumerate(left) if min(len(x), len(own)) >= SIMILARITY * max(len(x), len(own))]
+            hits = {i for i, hit in zip(near, similar(own, [left[i][1] for i in near])) if hit} if near else set()
+            for i in hits:
+                border.append(left[i])
+                yield at, left[i][0]
+            left = [x for i, x in enumerate(left) if i not in hits]
 
 
 class Block:
@@ -253,10 +279,7 @@ class Band:
                 yield at, raw[:-1].decode("utf-8", "surrogatepass")
 
     def edges(self) -> Iterator[tuple[int, int]]:
-        """A spanning forest of the similar lines."""
-        if self.file is None:
-            yield from verified(self.hashes, self.lines)
-            return
+        """A spanning forest of the similar lines of a band with a file."""
         with self.file:
             for a, b in self.joined():
                 yield self.hashes[a], self.hashes[b]
@@ -311,15 +334,30 @@ class Band:
                 lines.append(line)
 
 
+def small_edges(bands: list[Band]) -> Iterator[tuple[int, int]]:
+    """The forests of bands that have no file; their shingles are hashed together."""
+    grams = iter(shingle_sets([x for band in bands for x in band.lines]) if bands else [])
+    for band in bands:
+        yield from verified(band.hashes, [next(grams) for _ in band.lines])
+
+
 def band_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-    name, band = None, Band()
+    name, band, waiting, chars = None, Band(), [], 0
     for batch in batches:
         for own, line_hash, line in zip(*(c.to_pylist() for c in batch.columns)):
             if own != name:
-                yield from band.edges()
+                if band.file is not None:
+                    yield from band.edges()
+                else:
+                    waiting.append(band)
+                    chars += band.chars
                 name, band = own, Band()
+                if chars >= CHARS_PER_BLOCK:
+                    yield from small_edges(waiting)
+                    waiting, chars = [], 0
             band.add(line_hash, line)
-    yield from band.edges()
+    yield from small_edges(waiting)
+    yield from band.edges() if band.file is not None else small_edges([band])
 
 
 def verify_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
