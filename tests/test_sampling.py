@@ -109,3 +109,11 @@ def test_big_buckets_are_divided(skewed):
         for n in (10**6, 3)
     )
     assert plain == divided and set(plain.values()) == {"a", "b", "c", "d"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 300, 999, 1000, 5000])
+def test_a_big_sample_is_the_head_of_the_same_order(spark, n):
+    df = spark.range(1000).withColumn("x", F.col("id") % 3)
+    small = [tuple(r) for r in sm.shuffled(df, ["id"], limit=n).collect()]
+    assert [tuple(r) for r in sm.shuffled(df, ["id"], limit=n, page=-1).collect()] == small
+    assert sorted(map(tuple, sm.random_rows(df, n, ["id"], page=-1).collect())) == sorted(small) and len(small) == min(n, 1000)

@@ -12,15 +12,29 @@ from threadloom.functions.labels import SENTIMENTS
 from threadloom.operators.ranking import integral, segment_by_rank, share_down, share_up
 
 
-def random_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = SEED) -> DataFrame:
-    """``n`` rows chosen at random, the same ones every time."""
-    return df.orderBy(order_key(*ids, seed=seed)).limit(n)
+# Rows that one task may gather as the head of an order.
+PAGE = 10_000
 
 
-def shuffled(df: DataFrame, ids: Sequence[str], seed: int = SEED, limit: int | None = None) -> DataFrame:
+def random_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = SEED, page: int = PAGE) -> DataFrame:
+    """``n`` rows chosen at random, the same ones every time.
+
+    A page of rows is gathered by one task. For more the border of the order is
+    found by counts, and every task keeps its rows on this side of it.
+    """
+    key = order_key(*ids, seed=seed)
+    if n <= page:
+        return df.orderBy(key).limit(n)
+    marked = segment_by_rank(df, key, [("in", lambda total: F.least(total, F.lit(n).cast("bigint")))], out="_pick")
+    return marked.where(F.col("_pick") == "in").drop("_pick")
+
+
+def shuffled(df: DataFrame, ids: Sequence[str], seed: int = SEED, limit: int | None = None, page: int = PAGE) -> DataFrame:
     """All rows in random order; with ``limit`` the first rows of that order."""
-    out = df.orderBy(order_key(*ids, seed=seed))
-    return out if limit is None else out.limit(limit)
+    key = order_key(*ids, seed=seed)
+    if limit is None:
+        return df.orderBy(key)
+    return random_rows(df, limit, ids, seed, page).orderBy(key)
 
 
 def balanced(

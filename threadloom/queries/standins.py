@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.hashing import SEED, hash_bucket, hash_split
 from threadloom.functions.text import words
+from threadloom.session import over_cores
 from threadloom.sources.tables import load_table
 
 
@@ -17,8 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, spread over all cores for work on their texts."""
-    return load_table(spark, f"{sf}/documents.parquet")
+    """The documents; a file or two of them are spread over the cores for work on their texts."""
+    return over_cores(load_table(spark, f"{sf}/documents.parquet"))
 
 
 # -- SQL pieces ---------------------------------------------------------------
