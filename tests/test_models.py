@@ -56,6 +56,16 @@ def test_vocabulary_is_frozen_and_vectors_have_length_one(spark, reviews):
     assert all(abs(x - 1) < 1e-9 or x == 0 for x in lengths)
 
 
+def test_boosted_terms_weigh_more(spark, reviews):
+    model = ft.fit_vectoriser(reviews, "text", 5, stop_words=["the"])
+    first = ft.vocabulary_of(model)[0]
+    boosts = spark.createDataFrame([(first, 3.0), (first, 2.0), ("unknown", 9.0), (ft.vocabulary_of(model)[1], None)], "term string, factor double")
+    plain, more = (ft.vectorise(m, reviews).select(vector_to_array("features")).collect() for m in (model, ft.boosted(model, boosts)))
+    for (a,), (b,) in zip(plain, more):
+        scaled = np.array(a) * [3.0, 1, 1, 1, 1]
+        assert b == pytest.approx(scaled / (np.linalg.norm(scaled) or 1))
+
+
 def test_sweep_curve_and_adaptation_run(reviews, vectors):
     train, val = reviews.where("split = 'train'"), reviews.where("split = 'val'")
     sweep, fitted = md.vocabulary_sweep(train, val, [3, 12], 3)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions.hashing import hash_bucket
-from threadloom.functions.labels import lookup, topic_of
-from threadloom.functions.text import drop_prefix3
+from threadloom.functions.labels import by_threshold, lookup, topic_of
+from threadloom.functions.text import combined_text, drop_prefix3, record_kind
 from threadloom.operators import rules as ru
 from threadloom.operators.sampling import balanced
 from threadloom.operators.sentiment import Phrases, Scheme, add_sentiment, score_texts
-from threadloom.operators.threads import best_first, inline_thread_texts
+from threadloom.operators.threads import attach_children, best_first, inline_thread_texts
 from threadloom.plans.balance import balance, balance_dumps
 from threadloom.plans.thread_export import export_threads, load_dumps
 from threadloom.queries import standins as st
@@ -231,11 +231,11 @@ def sample_balanced_groups(spark, sf):
     return balanced(rows, "sentiment", ["doc_id"], 25, by=["lang"]).select("doc_id", "lang", "sentiment")
 
 
-def balance_sql(target: int, grouped: bool) -> str:
-    """The balance job word by word, over all posts or per data set group."""
+def objects_sql(target: int | None, grouped: bool) -> str:
+    """CTEs ending in ``objects``: scored posts, all or balanced, and their best comments, over all posts or per data set group."""
     group = GROUP if grouped else "'all'"
     turn_group = "CASE WHEN length(id) % 2 = 0 THEN 'keto' ELSE 'paleo' END" if grouped else "'all'"
-    shown = "grp AS dataset_group, " if grouped else ""
+    rank = "" if target is None else f"WHERE rk <= least({target}, s.n)"
     return f"""WITH {st.LEXICON}, {st.RAW_DOCUMENTS}, {st.RAW_TURNS},
 texts AS (SELECT * FROM (
   SELECT id, subreddit, score, created_utc, {st.TOPIC} AS topic, {group} AS grp,
@@ -246,7 +246,7 @@ texts AS (SELECT * FROM (
 scored AS (SELECT t.*, {class_sql('compound', 0.5, -0.5)} AS sentiment FROM texts t JOIN post_scores ON id = sid),
 placed AS (SELECT *, row_number() OVER (PARTITION BY grp, sentiment ORDER BY {st.key_sql('id')}) AS rk FROM scored),
 sizes AS (SELECT grp, min(n) AS n FROM (SELECT grp, sentiment, count(*) AS n FROM scored GROUP BY ALL) GROUP BY grp HAVING count(*) = 3),
-sample AS (SELECT p.* FROM placed p JOIN sizes s ON p.grp = s.grp WHERE rk <= least({target}, s.n)),
+sample AS (SELECT p.* FROM placed p {'LEFT' if target is None else ''} JOIN sizes s ON p.grp = s.grp {rank}),
 turns AS (SELECT *, {turn_group} AS grp FROM raw_turns),
 kept AS (SELECT *, row_number() OVER (PARTITION BY grp, link_id ORDER BY score DESC, id) AS rn FROM turns
   WHERE regexp_matches(coalesce(body, ''), '\\S') AND body NOT IN ('[deleted]', '[removed]')
@@ -257,11 +257,36 @@ objects AS (
   SELECT grp, text_content, sentiment, subreddit, topic, score, created_utc, id, post_type, NULL::VARCHAR AS parent_id FROM sample
   UNION ALL
   SELECT grp, body, {class_sql('compound', 0.5, -0.5)}, subreddit, 'keto', score, created_utc, id, 'comment', substr(link_id, 4)
-  FROM top JOIN turn_scores ON id = sid)
+  FROM top JOIN turn_scores ON id = sid)"""
+
+
+def balance_sql(target: int, grouped: bool) -> str:
+    """The balance job word by word."""
+    shown = "grp AS dataset_group, " if grouped else ""
+    return f"""{objects_sql(target, grouped)}
 SELECT {shown}text_content, subreddit, topic, score, created_utc, id, post_type, parent_id,
        {corrected_sql('text_content', 'sentiment', 'topic')} AS sentiment FROM objects"""
 
 
+# All posts with their own texts and scores, and their two best comments, scored alike.
+@query("thread_attach_scored", f"""{objects_sql(None, False)}
+SELECT text_content, sentiment, subreddit, topic, score, created_utc, id, post_type, parent_id FROM objects""")
+def thread_attach_scored(spark, sf):
+    words = settle(st.lexicon(spark, sf), "lexicon")
+    text = combined_text(F.col("title"), F.col("selftext"), F.col("body"))
+    usable = st.raw_documents(spark, sf).withColumn("text_content", text).where(F.length("text_content") > 0)
+    scored = score_texts(usable, "text_content", words, "_compound", SCHEME)
+    sample = settle(
+        scored.select(
+            "text_content", by_threshold(F.col("_compound"), 0.5, -0.5).alias("sentiment"), "subreddit",
+            topic_of(F.col("subreddit")).alias("topic"), "score", "created_utc", "id", record_kind(F.col("title")).alias("post_type"),
+        ),
+        "sample",
+    )
+    score = lambda df, column, out: score_texts(df, column, words, out, SCHEME)
+    return attach_children(sample, st.raw_turns(spark, sf), score, 2, best_first("id"))
+
+
 @query("balance_job", balance_sql(100, grouped=False))
 def balance_job(spark, sf):
     words = settle(st.lexicon(spark, sf), "lexicon")

@@ -58,7 +58,10 @@ def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str, options: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """CSV with a header; each file is read in the encoding its bytes allow."""
+    """CSV with a header; each file is read in the encoding its bytes allow.
+
+    The driver gets the paths of the files, as it does to list them.
+    """
     files = file_encodings(spark, path).collect()
     reader = spark.read.schema(schema).option("header", "true").options(**dict(options or {}))
     parts = []
@@ -66,4 +69,4 @@ def read_csv(
         paths = [r["path"] for r in files if r["encoding"] == encoding]
         if paths:
             parts.append(reader.option("encoding", encoding).csv(paths))
-    return union_by_name(parts)
+    return union_by_name(parts) if parts else spark.createDataFrame([], schema)
