@@ -75,11 +75,16 @@ def test_ratios_and_verdict(spark, documents, labels):
         if r.doc_id in good:
             kept += own
     scale, s = sum(raw.values()) / sum(kept.values()), quality_rules.SMOOTHING
+    stutters = {r.doc_id: sum(a == b for a, b in zip(plain_words(r.text), plain_words(r.text)[1:])) for r in rows}
+    all_same, good_same = sum(stutters.values()), sum(n for i, n in stutters.items() if i in good)
+    same = math.log((good_same * scale + s) / (max(all_same - 1, 0) + s))
+    unlike = math.log(((sum(kept.values()) / 3 - good_same) * scale + s) / (sum(raw.values()) / 3 - all_same + s))
     ratio = {b: math.log((kept[b] * scale + s) / (max(raw[b] - 1, 0) + s)) for b in raw}
     found = {r.doc_id: r for r in quality_rules.judged(documents, trusted).select("doc.doc_id", "llr", "kept", "base_failed").collect()}
     for r in rows:
         values = [ratio[grams[p]] for p in pieces(r.text)]
-        llr = sum(values) / len(values) if values else 0.0
+        n, own = len(values) / 3, stutters[r.doc_id]
+        llr = sum(values) / len(values) + (own * same + (n - own) * unlike) / n if values else 0.0
         assert math.isclose(found[r.doc_id].llr, llr, abs_tol=1e-9)
         assert found[r.doc_id].kept == (not found[r.doc_id].base_failed and llr >= quality_rules.THRESHOLD)
 

@@ -3,10 +3,13 @@
 Two multinomials over hashed n-grams are counted, one over the trusted
 documents, one over the whole raw corpus. The n-grams are words and the three
 characters at either end of each, which tell prose from lists, shouting and
-signs in any language and are frequent in small corpora too. A document's score is the mean of ``log(trusted / raw)`` over its
-n-grams, so it doesn't depend on its length, and every document at or above a
-fixed threshold stays. Base rules turn
-down documents that are too short or repeat themselves.
+signs in any language and are frequent in small corpora too, and pairs of
+neighbours. Of pairs only one class is told apart, a word after itself: pairs of
+unlike words are too many for a corpus to know its good ones, but trusted texts
+hardly ever stutter. A document's score is the mean of ``log(trusted / raw)`` over
+its single n-grams plus that over its pairs, so it doesn't depend on its length,
+and every document at or above a fixed threshold stays. Base rules turn down
+documents that are too short or repeat themselves.
 
 Null and empty texts have no words: all counts are 0, the score is 0 and the
 base rules reject them. Repeated rows are judged one by one, with equal
@@ -35,6 +38,8 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 EDGE = 3
+# Stands for a stutter among the hashes of n-grams.
+STUTTER = -(2**63)
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -105,16 +110,22 @@ def measures(df: DataFrame) -> DataFrame:
     )
 
 
-def ngrams() -> Column:
-    """All n-grams of ``with_words``: each word, and the characters at its start and at its end."""
+def n_stutters() -> Column:
+    """How many words of ``with_words`` follow themselves."""
+    return F.size(F.filter("h", lambda x, i: F.get(F.col("h"), i - 1) == x))
+
+
+def ngrams(*more: Column) -> Column:
+    """All single n-grams of ``with_words``: each word, and the characters at its start and at its end; then ``more``."""
     edge = lambda cut, mark: F.transform("words", lambda w: F.xxhash64(cut(w, F.lit(EDGE)), F.lit(mark)))
-    return F.concat("h", edge(F.left, 1), edge(F.right, 2))
+    return F.concat("h", edge(F.left, 1), edge(F.right, 2), *more)
 
 
 def log_ratios(
     docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
 ) -> DataFrame:
-    """One row ``ratios``: by bucket, ``log(trusted / raw)`` of the smoothed multinomials.
+    """One row ``ratios``: by bucket, ``log(trusted / raw)`` of the smoothed multinomials, then that of pairs of equal
+    words and that of other pairs.
 
     Counts cover every n-gram of every document. Raw counts leave one occurrence
     out, the one that is scored, and both counts are smoothed towards the same
@@ -129,21 +140,30 @@ def log_ratios(
     marked = marked.select("text", F.col("trusted_id").isNotNull().cast("long").alias("trusted"))
     counts = (
         with_words(marked)
-        .select(F.col("doc.trusted").alias("trusted"), F.explode(ngrams()).alias("ngram"))
-        .groupBy(bucket_of(F.col("ngram"), buckets).alias("bucket"))
+        .select(F.col("doc.trusted").alias("trusted"), F.explode(ngrams(F.array_repeat(F.lit(STUTTER), n_stutters()))).alias("ngram"))
+        .groupBy(F.when(F.col("ngram") == STUTTER, buckets).otherwise(bucket_of(F.col("ngram"), buckets)).alias("bucket"))
         .agg(F.sum("trusted").alias("trusted"), F.count("*").alias("raw"))
     )
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    # The last bucket has the stutters.
+    every = docs.sparkSession.range(buckets + 1).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select(
         "bucket", F.coalesce("trusted", F.lit(0)).alias("trusted"), F.coalesce("raw", F.lit(0)).alias("raw")
     )
-    # One array of ``buckets`` numbers, whatever the corpus.
+    # One array of ``buckets`` numbers and two, whatever the corpus.
+    single = F.col("bucket") < buckets
     sums = filled.agg(
-        F.when(F.sum("trusted") > 0, F.sum("raw") / F.sum("trusted")).alias("scale"),
+        F.sum(F.when(single, F.col("trusted"))).alias("trusted"), F.sum(F.when(single, F.col("raw"))).alias("raw"),
         F.sort_array(F.collect_list(F.struct("bucket", "trusted", "raw"))).alias("rows"),
     )
+    sums = sums.withColumn("scale", F.when(F.col("trusted") > 0, F.col("raw") / F.col("trusted")))
     ratio = lambda x: (x["trusted"] * F.col("scale") + smoothing) / (F.greatest(x["raw"] - 1, F.lit(0)) + smoothing)
-    return sums.select(F.transform("rows", lambda x: F.coalesce(F.log(ratio(x)), F.lit(0.0))).alias("ratios"))
+    stutters = F.element_at("rows", -1)
+    # A word has three single n-grams. Pairs of unlike words are all the others.
+    others = lambda words, own: F.greatest(words / 3 - own, F.lit(0))
+    good = others(F.col("trusted"), stutters["trusted"]) * F.col("scale")
+    unlike = (good + smoothing) / (others(F.col("raw"), stutters["raw"]) + smoothing)
+    known = lambda x: F.coalesce(F.log(x), F.lit(0.0))
+    return sums.select(F.concat(F.transform("rows", lambda x: known(ratio(x))), F.array(known(unlike))).alias("ratios"))
 
 
 def judged(
@@ -160,9 +180,11 @@ def judged(
     filter it by its columns, as ``keep_good`` explains.
     """
     ratios = settle(log_ratios(docs, trusted_ids, buckets, smoothing), "ratios")
-    df = measures(with_words(docs)).withColumn("ratios", ratios.scalar())
+    df = measures(with_words(docs)).withColumn("ratios", ratios.scalar()).withColumn("stutters", n_stutters())
     total = F.aggregate(ngrams(), F.lit(0.0), lambda s, x: s + F.get(F.col("ratios"), bucket_of(x, buckets)))
-    mean = total / (3 * F.col("n_words"))
+    same, unlike = F.get(F.col("ratios"), F.lit(buckets)), F.get(F.col("ratios"), F.lit(buckets + 1))
+    pairs = F.col("stutters") * same + (F.col("n_words") - F.col("stutters")) * unlike
+    mean = total / (3 * F.col("n_words")) + pairs / F.col("n_words")
     return df.withColumn("llr", F.when(F.col("n_words") > 0, mean).otherwise(F.lit(0.0))).select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr",
         (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"),
