@@ -4,8 +4,9 @@ A gear hash runs over the UTF-8 bytes of a text; it depends on the last 32 bytes
 only, so a boundary moves along with the text around it. Boundaries are
 normalised: before the usual chunk length a stricter mask has to match, after
 it a looser one, between a least and a greatest length. The fingerprint is the
-set of chunk digests, each weighted by its chunks' length; likeness is the
-weight that two fingerprints share, as a part of the heavier one.
+set of 64-bit chunk digests, each weighted by its chunks' length; the likeness of
+a fingerprint to another is its containment: the weight that the two share, as a
+part of its own.
 
 The empty text has the empty fingerprint; two empty fingerprints are alike
 (1.0), an empty one is unlike any other (0.0). Null texts count as empty.
@@ -74,21 +75,22 @@ def chunks(text: str) -> dict[int, int]:
     found: dict[int, int] = {}
     start = 0
     for end in cuts(data):
-        digest = xxhash.xxh32_intdigest(data[start:end], 42)
+        digest = xxhash.xxh64_intdigest(data[start:end], 42)
         found[digest] = found.get(digest, 0) + end - start
         start = end
     return found
 
 
 def written(found: dict[int, int]) -> str:
-    return " ".join(f"{digest:08x}:{weight}" for digest, weight in sorted(found.items()))
+    return " ".join(f"{digest:016x}:{weight}" for digest, weight in sorted(found.items()))
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
-    if not a and not b:
-        return 1.0
+    """How much of ``a`` is contained in ``b``."""
+    if not a:
+        return float(not b)
     shared = sum(min(a[d], b[d]) for d in a.keys() & b.keys())
-    return shared / max(sum(a.values()), sum(b.values()))
+    return shared / sum(a.values())
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
