@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from threadloom.llm.common import held_out
 
 SPACE = 32
+# Shares of a label that are ranked by themselves.
+SHARES = 64
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,13 +64,17 @@ def sampled_texts(docs: DataFrame, labelled: DataFrame, per_label: int) -> DataF
 
     ``labelled`` has ``doc_id`` and ``label``, narrow columns only. Rows are
     taken in the order of a hash of their id; of rows with the same id the least
-    counts. The chosen ids are few by that bound, so they are broadcast and no
-    text is shuffled but the chosen ones.
+    counts. A label's rows are ranked in shares first, by another hash, and only
+    the first of each share are ranked together. The chosen ids are few by that
+    bound, so they are broadcast and no text is shuffled but the chosen ones.
     """
     one = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = one.where(~held_out(F.col("doc_id"))).withColumn("rank", F.row_number().over(order))
-    chosen = chosen.where(F.col("rank") <= per_label).select(F.col("doc_id").alias("id"), "label")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = one.where(~held_out(F.col("doc_id"))).withColumn("share", F.pmod(F.hash("doc_id"), F.lit(SHARES)))
+    for group in (["label", "share"], ["label"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= per_label)
+    chosen = chosen.select(F.col("doc_id").alias("id"), "label")
     text = F.col("text").cast("string")
     joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", text.alias("text"))
     return joined.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
