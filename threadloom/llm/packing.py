@@ -4,7 +4,14 @@ Each task packs the pieces it holds best-fit, longest first, and emits the bins
 that are full but for a few tokens. A bin that is not becomes an item as long as
 its content. The items of several tasks meet in one task of the next level,
 which packs them best-fit again, and so on up to a single task, which emits all
-of its bins. A task of the upper levels gets only what its children left open.
+of its bins.
+
+Of the bins that a task leaves open at most one is no more than half full, as any
+two of those fit into one. Two that are more than half full never meet. So what the
+next level can save is bounded by the number of bins that are no more than half
+full, and as many of the others, those with the most room, are all that it needs:
+the rest is emitted as it is. The upper levels get two bins for each task below
+them, whatever the lengths.
 
 Only lengths and ids travel. A document's tokens are those of a byte-level
 vocabulary followed by one separator, so that empty and null texts are one token
@@ -42,8 +49,6 @@ ITEMS_PER_ROUND = 200_000
 FAN_IN = 8
 # Pieces that a task of the first level packs.
 PIECES_PER_LEAF = 50_000
-# Open rows that a task of an upper level gets at most.
-ROWS_PER_TASK = 1_000_000
 CACHED_PARTS = 250_000
 # Characters of white space in one run that the library's pattern need not take; at about a million it gives up.
 LONG_BLANK = 50_000
@@ -160,7 +165,7 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-PACKED = f"{PIECES}, sequence_id long, offset long, open boolean"
+PACKED = f"{PIECES}, sequence_id long, offset long, open boolean, filled long"
 
 
 def pack_tasks(size: int, slack: int, level: int):
@@ -179,6 +184,7 @@ def pack_tasks(size: int, slack: int, level: int):
             sequence_id=base + bin_of[item],
             offset=df["offset"] + shift[item],
             open=(filled < size - slack)[bin_of][item],
+            filled=filled[bin_of][item].astype(np.int64),
         )
 
     def tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,6 +212,25 @@ def pack_tasks(size: int, slack: int, level: int):
     return tasks
 
 
+def may_meet(left: DataFrame, size: int) -> DataFrame:
+    """Marks open rows, as ``meets``: those of bins no more than half full, and of as many others with the most room.
+
+    The driver gets one count for each length that open bins have.
+    """
+    # A bin's first row stands for it.
+    bins = left.where("offset = 0").groupBy("filled").agg(F.count("*").alias("n")).collect()
+    small = sum(r["n"] for r in bins if 2 * r["filled"] <= size)
+    most, missing = size // 2, small
+    share = 1.0
+    for r in sorted((r for r in bins if 2 * r["filled"] > size), key=lambda r: r["filled"]):
+        if missing <= 0:
+            break
+        most, share, missing = r["filled"], min(1.0, 2 * missing / r["n"]), missing - r["n"]
+    # Of the fullest length that is needed about twice as many as are missing, by hash.
+    some = F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    return left.withColumn("meets", (F.col("filled") < most) | (F.col("filled") == most) & some | (2 * F.col("filled") <= size))
+
+
 def packed(
     docs: DataFrame,
     size: int = SEQUENCE,
@@ -215,9 +240,8 @@ def packed(
 ) -> DataFrame:
     """All pieces with their ``sequence_id`` and ``offset``.
 
-    Leaves take ``PIECES_PER_LEAF`` pieces. Levels shrink by ``FAN_IN`` tasks each, but never so far that a task gets
-    more than ``ROWS_PER_TASK`` open rows; there the tree ends, with every bin
-    emitted as it is. ``slack`` is the first level's and doubles twice a level.
+    Leaves take ``PIECES_PER_LEAF`` pieces, a task above them what ``FAN_IN``
+    tasks left open. ``slack`` is what a bin may lack that is emitted early.
     """
     pieces = settle(token_pieces(docs, size, separator, path), "pieces")
     rows = pieces.select(
@@ -226,14 +250,14 @@ def packed(
     tasks, level, done = -(-pieces.count() // PIECES_PER_LEAF) or 1, 0, []
     rows = rows.repartition(tasks)
     while True:
-        packed_rows = settle(rows.mapInPandas(pack_tasks(size, slack << 2 * level, level), PACKED), "packed")
-        done.append(packed_rows)
-        left = packed_rows.where("open")
-        fewer = max(-(-tasks // FAN_IN), -(-left.count() // ROWS_PER_TASK))
-        if fewer >= tasks:
+        packed_rows = settle(rows.mapInPandas(pack_tasks(size, slack, level), PACKED), "packed")
+        if tasks == 1:
+            done.append(packed_rows)
             break
-        done[-1] = packed_rows.where("not open")
-        parent = F.shiftright(F.col("sequence_id").bitwiseAND((1 << 58) - 1), 36) % fewer
-        rows = left.withColumn("parent", parent).repartition(fewer, "parent").sortWithinPartitions("sequence_id", "offset")
-        rows, tasks, level = rows.drop("parent"), fewer, level + 1
-    return reduce(DataFrame.unionByName, done).drop("open")
+        left = may_meet(packed_rows.where("open"), size)
+        done += [packed_rows.where("not open"), left.where("not meets").drop("meets")]
+        tasks, level = -(-tasks // FAN_IN), level + 1
+        parent = F.shiftright(F.col("sequence_id").bitwiseAND((1 << 58) - 1), 36) % tasks
+        rows = left.where("meets").drop("meets", "filled").repartitionById(tasks, parent.cast("int"))
+        rows = rows.sortWithinPartitions("sequence_id", "offset")
+    return reduce(DataFrame.unionByName, done).drop("open", "filled")
