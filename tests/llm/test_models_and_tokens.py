@@ -234,6 +234,48 @@ def test_guess_costs():
     assert [(s, secret_scan.KINDS[k]) for s, k, _, _ in found] == [(8, "guess")]
 
 
+def plain_cost(value, words):
+    """The cheapest of all segmentations, every span priced by itself."""
+    from math import log10
+
+    near, lower = secret_scan.neighbours(), value.lower()
+
+    def price(i, j):
+        part, own, n = lower[i:j], value[i:j], j - i
+        yield n * secret_scan.CHARACTER_COST
+        for spelled, extra in ((part, 0.0), (part.translate(secret_scan.LOOKALIKES), log10(2))):
+            if 3 <= n <= secret_scan.LONGEST_WORD and spelled in words:
+                yield words[spelled] + extra + secret_scan.case_cost(own)
+                break
+        if n >= 3 and all(b in near.get(a, ()) for a, b in zip(part, part[1:])):
+            turned = sum(near.get(a) != near.get(b) for a, b in zip(part, part[1:])) // 4
+            yield log10(47) + (1 + turned) * log10(5) + log10(n)
+        if n >= 3 and {ord(b) - ord(a) for a, b in zip(part, part[1:])} in ({1}, {-1}):
+            yield log10(26) + log10(n)
+        for u in range(1, min(secret_scan.LONGEST_UNIT, len(value) // 2) + 1):
+            if n >= max(3, 2 * u) and own[u:] == own[:-u]:
+                yield u * secret_scan.CHARACTER_COST + log10(n / u)
+        if (date := secret_scan.DATE.match(value, i)) and date.end() == j:
+            yield log10(36500) if n > 4 else log10(100)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + secret_scan.SEGMENT_COST + c for i in range(j) for c in price(i, j)))
+    return max(0.0, best[-1] - secret_scan.SEGMENT_COST) if value else 0.0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("qwertyasdf123459870aabbcP@s$w0rdXy-./"), max_size=14) | st.lists(
+    st.sampled_from(["pass", "word", "qwe", "rty", "1998", "2021-03-04", "abcabc", "xyz", "321", "aaaa", "Hello", "K8#f", "p@ss", "hellohello"]), max_size=4).map("".join))
+def test_guess_costs_are_the_cheapest_of_all_segmentations(value):
+    words = secret_scan.word_costs(public_path(secret_scan.WORD_LIST))
+    assert secret_scan.guess_cost(value, words) == pytest.approx(plain_cost(value, words), abs=1e-9)
+
+
+def test_secrets_and_tokens_of_an_empty_table(empty):
+    assert secret_scan.scanned(empty).count() == bpe.digests(empty).count() == bpe.encoded(empty).count() == 0
+
+
 def test_pipeline_stages(spark, edge, empty, documents):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "PII", "best-fit packing"]
     for docs in (edge, empty):

@@ -3,7 +3,9 @@
 The guess cost of a value is the logarithm of the guesses that the cheapest
 segmentation takes: dynamic programming over its ends chooses among words of a
 frequency-ordered list, dates, repeats, keyboard walks, sequences and
-brute-force spans. A value after a credential word (``pwd``, ``auth``,
+brute-force spans, each of them wherever it may begin and end (a walk, sequence or
+repeat of more than ``LONGEST_PART`` characters only from the start of its longest
+run). A value after a credential word (``pwd``, ``auth``,
 ``bearer`` and the like) counts as a secret from ``MIN_COST`` on; spans of the
 fixed patterns stay whatever they cost, their costs are reported.
 
@@ -49,6 +51,7 @@ MIN_COST = 8.0
 SEGMENT_COST, CHARACTER_COST = 0.3, 1.0
 LONGEST_WORD = 24
 LONGEST_UNIT = 8
+LONGEST_PART = 64
 
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKES = str.maketrans("4@301!$57", "aaeoiisst")
@@ -82,25 +85,23 @@ def neighbours() -> dict[str, set[str]]:
     return found
 
 
-def runs(value: str, joined) -> Iterator[tuple[int, int]]:
-    """Longest spans of three or more characters in which ``joined`` holds for each neighbouring pair."""
-    start = 0
-    for at in range(1, len(value) + 1):
-        if at == len(value) or not joined(value[at - 1], value[at]):
-            if at - start >= 3:
-                yield start, at
-            start = at
+def run_starts(n: int, reach: int, joined) -> list[int]:
+    """For each end, where the longest run up to it starts: ``joined(i)`` says whether place ``i`` goes on from ``i - reach``."""
+    starts, start = [0] * (n + 1), 0
+    for at in range(reach, n):
+        if not joined(at):
+            start = at - reach + 1
+        starts[at + 1] = start
+    return starts
 
 
-def repeats(value: str) -> Iterator[tuple[int, int, int]]:
-    """Start, end and unit length of longest spans that repeat a short unit."""
-    for unit in range(1, min(LONGEST_UNIT, len(value) // 2) + 1):
-        start = 0
-        for at in range(unit, len(value) + 1):
-            if at == len(value) or value[at] != value[at - unit]:
-                if at - start >= max(3, 2 * unit):
-                    yield start, at, unit
-                start = at - unit + 1
+def parts(start: int, end: int, least: int) -> Iterator[int]:
+    """Where the parts of a run begin that end at ``end`` and have ``least`` characters or more."""
+    if end - start < least:
+        return
+    if end - start > LONGEST_PART:
+        yield start
+    yield from range(max(start, end - LONGEST_PART), end - least + 1)
 
 
 def case_cost(word: str) -> float:
@@ -114,23 +115,35 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     if len(lower) != n:  # a letter that becomes two
         lower = value
     plain = lower.translate(LOOKALIKES)
-    spans: dict[int, list[tuple[int, float]]] = {}
-
-    def offer(start: int, end: int, cost: float) -> None:
-        spans.setdefault(end, []).append((start, cost))
-
-    near = neighbours()
-    for start, end in runs(lower, lambda a, b: b in near.get(a, ())):
-        turns = sum(near[lower[i]] != near[lower[i - 1]] for i in range(start + 1, end)) // 4
-        offer(start, end, log10(47) + (1 + turns) * log10(5) + log10(end - start))
-    for step in (1, -1):
-        for start, end in runs(lower, lambda a, b: ord(b) - ord(a) == step):
-            offer(start, end, log10(26) + log10(end - start))
-    for start, end, unit in repeats(value):
-        offer(start, end, unit * CHARACTER_COST + log10((end - start) / unit))
+    dates: dict[int, list[tuple[int, float]]] = {}
     for at in range(n):
         if date := DATE.match(value, at):
-            offer(at, date.end(), log10(365 * 100) if date.end() - at > 4 else log10(100))
+            dates.setdefault(date.end(), []).append((at, log10(365 * 100) if date.end() - at > 4 else log10(100)))
+
+    near = neighbours()
+    walks = run_starts(n, 1, lambda i: lower[i] in near.get(lower[i - 1], ()))
+    turns = [0, 0]
+    for i in range(1, n):
+        turns.append(turns[-1] + (near.get(lower[i]) != near.get(lower[i - 1])))
+    steps = [run_starts(n, 1, lambda i, step=step: ord(lower[i]) - ord(lower[i - 1]) == step) for step in (1, -1)]
+    units = range(1, min(LONGEST_UNIT, n // 2) + 1)
+    repeated = {u: run_starts(n, u, lambda i, u=u: value[i] == value[i - u]) for u in units}
+
+    def spans(end: int) -> Iterator[tuple[int, float]]:
+        """Starts and costs of the walks, sequences, repeats and dates that end here."""
+        for start in parts(walks[end], end, 3):
+            turned = (turns[end] - turns[start + 1]) // 4
+            yield start, log10(47) + (1 + turned) * log10(5) + log10(end - start)
+        for starts in steps:
+            for start in parts(starts[end], end, 3):
+                yield start, log10(26) + log10(end - start)
+        for unit, starts in repeated.items():
+            # A repeat of a shorter unit is cheaper.
+            if any(unit % u == 0 and repeated[u][end] <= starts[end] for u in range(1, unit // 2 + 1)):
+                continue
+            for start in parts(starts[end], end, max(3, 2 * unit)):
+                yield start, unit * CHARACTER_COST + log10((end - start) / unit)
+        yield from dates.get(end, ())
 
     cost, brute = [0.0] + [0.0] * n, float("inf")
     for end in range(1, n + 1):
@@ -142,7 +155,7 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
                 if found is not None:
                     best = min(best, cost[start] + SEGMENT_COST + found + extra + case_cost(value[start:end]))
                     break
-        for start, own in spans.get(end, ()):
+        for start, own in spans(end):
             best = min(best, cost[start] + SEGMENT_COST + own)
         cost[end] = best
     return max(0.0, cost[n] - SEGMENT_COST) if n else 0.0
