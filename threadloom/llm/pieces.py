@@ -40,8 +40,8 @@ from threadloom.llm.words import Bounded, public_path
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-CACHED_CHUNKS = 400_000
-CACHED_STRETCHES = 400_000
+CACHED_CHUNKS = 600_000
+CACHED_PIECES = 100_000
 # Longer stretches are merged with a heap instead of a scan for the best pair.
 SCANNED = 48
 
@@ -188,11 +188,19 @@ class Model:
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {t: order[scores[i]] for t, i in self.ids.items()}
         self.never = len(order)
+        # By two neighbours, the rank of the piece that they make.
+        self.joins: dict[str, dict[str, int]] = {}
+        self.no_joins: dict[str, int] = {}
+        for text, rank in self.rank.items():
+            for cut in range(1, len(text)):
+                # Only characters and pieces ever stand next to each other.
+                if all(len(part) == 1 or part in self.rank for part in (text[:cut], text[cut:])):
+                    self.joins.setdefault(text[:cut], {})[text[cut:]] = rank
         self.pairs = {p for t in self.ids for p in zip(t, t[1:])}
         # A visible blank follows no other character inside a piece, or texts can't be cut before it.
         self.blank_first = not any(b == BLANK and a != BLANK for a, b in self.pairs)
         self.chunks = Bounded(self.encode_chunk, CACHED_CHUNKS)
-        self.stretches = Bounded(self.encode_stretch, CACHED_STRETCHES)
+        self.pieces = Bounded(self.spelled, CACHED_PIECES)
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """The text that is encoded, and for each of its bytes and its end the place in the source's bytes."""
@@ -231,19 +239,19 @@ class Model:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Neighbours joined, the best piece first, of equal ones the leftmost."""
-        rank, never = self.rank, self.never
-        ranks = [rank.get(a + b, never) for a, b in zip(symbols, symbols[1:])]
-        while ranks:
-            best = min(ranks)
+        joins, none, never = self.joins, self.no_joins, self.never
+        found = [joins.get(a, none).get(b, never) for a, b in zip(symbols, symbols[1:])]
+        while found:
+            best = min(found)
             if best == never:
                 break
-            i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del ranks[i]
+            i = found.index(best)
+            both = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], found[i]
             if i:
-                ranks[i - 1] = rank.get(symbols[i - 1] + symbols[i], never)
-            if i < len(ranks):
-                ranks[i] = rank.get(symbols[i] + symbols[i + 1], never)
+                found[i - 1] = joins.get(symbols[i - 1], none).get(both, never)
+            if i < len(found):
+                found[i] = joins.get(both, none).get(symbols[i + 1], never)
         return symbols
 
     def merged_long(self, symbols: list[str]) -> list[str]:
@@ -272,30 +280,28 @@ class Model:
                 propose(before[i], i)
         return [s for s in symbols if s]
 
-    def encode_stretch(self, stretch: str) -> tuple[bytes, bytes, bytes]:
-        """Ids and lengths in bytes of the pieces as 32-bit numbers, and the decoded bytes."""
-        symbols = list(stretch)
-        ids, lengths, ends_in = [], [], self.ids
-        for piece in self.merged(symbols) if len(symbols) <= SCANNED else self.merged_long(symbols):
-            own = ends_in.get(piece)
-            raw = piece.encode("utf-8")
-            if own is not None:
-                ids.append(own)
-                lengths.append(len(raw))
-            else:
-                ids += [self.byte_ids[b] for b in raw]
-                lengths += [0] * (len(raw) - 1) + [len(raw)]
-        decoded = b"".join([self.byte_of.get(i) or self.texts[i].replace(BLANK, " ").encode("utf-8") for i in ids])
-        return struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(lengths)}I", *lengths), decoded
+    def spelled(self, piece: str) -> tuple[bytes, bytes, bytes]:
+        """Ids and lengths as 32-bit numbers, and decoded bytes, of what merging leaves: a piece, or a character without one."""
+        raw = piece.encode("utf-8")
+        if piece in self.ids:
+            return struct.pack("<I", self.ids[piece]), struct.pack("<I", len(raw)), piece.replace(BLANK, " ").encode("utf-8")
+        lengths = [0] * (len(raw) - 1) + [len(raw)]
+        return struct.pack(f"<{len(raw)}I", *[self.byte_ids[b] for b in raw]), struct.pack(f"<{len(raw)}I", *lengths), raw
 
     def encode_chunk(self, chunk: str) -> tuple[bytes, bytes, bytes]:
-        """A word with the blanks before it, cut where no piece goes on."""
-        pairs = self.pairs
-        cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in pairs]
-        if not cuts:
-            return self.stretches[chunk]
-        found = [self.stretches[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
-        return tuple(map(b"".join, zip(*found)))
+        """Ids and lengths of a word with the blanks before it as 32-bit numbers, and its decoded bytes.
+
+        Words of letters are seldom cut by anything, so they are merged whole.
+        """
+        if not chunk[1:].isalpha():
+            pairs = self.pairs
+            cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in pairs]
+            if cuts:
+                found = [self.chunks[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
+                return tuple(map(b"".join, zip(*found)))
+        symbols = list(chunk)
+        left = self.merged(symbols) if len(symbols) <= SCANNED else self.merged_long(symbols)
+        return tuple(map(b"".join, zip(*map(self.pieces.__getitem__, left))))
 
     def encode_normalised(self, text: str) -> tuple[bytes, bytes, bytes]:
         if not text:
