@@ -162,3 +162,8 @@ def test_redaction(spark, edge):
     assert pii.redacted(edge).columns == edge.columns
     left = pii.reported(pii.redacted(edge)).agg(*[F.sum(f"n_{k}") for k in PLAIN]).first()
     assert set(left) == {0}
+
+
+def test_empty_tables(empty, labels):
+    assert pii.reported(empty).count() == pii.redacted(empty).count() == 0
+    assert quality_rules.judged(empty, labels.where("quality = 1").select("doc_id")).count() == 0

@@ -249,7 +249,11 @@ def redacted_text(text: Column, kind: Kind) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced, kind by kind; null texts stay null, ``n_chars`` follows the text."""
+    """The documents with personal data replaced, kind by kind; null texts stay null, ``n_chars`` follows the text.
+
+    A kind is looked for in the text that the kinds before it have left, so where spans of several kinds overlap in
+    ``reported``, the first kind's is replaced and what remains of the others is judged anew.
+    """
     df = packed(docs).withColumn("text", F.col("doc.text"))
     for kind in KINDS:
         df = df.withColumn("text", redacted_text(F.col("text"), kind))
