@@ -49,7 +49,7 @@ def annotation_rows(spark, sf):
     built = None
     for number, value in shapes.items():
         built = F.when(shape == number, value) if built is None else built.when(shape == number, value)
-    return st.labelled(spark, sf).select(
+    return st.labelled(spark, sf, st.table(spark, sf, "documents")).select(
         F.concat(F.lit("t"), F.col("doc_id")).alias("id"), F.struct("text", "source").alias("data"), built.alias("annotations"),
         F.lit("2024-01-01").alias("created_at"),
     )

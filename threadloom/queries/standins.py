@@ -154,12 +154,12 @@ RAW_TURNS = """raw_turns AS (
 
 # -- labels and predictions ---------------------------------------------------
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text, lang, source, sentiment) of the hand-labelled documents."""
+def labelled(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, lang, source, sentiment) of the hand-labelled documents; ``docs`` are the documents as read otherwise."""
     word = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
     labels = table(spark, sf, "labels").select("doc_id", word.alias("sentiment"))
-    docs = documents(spark, sf).select("doc_id", "text", "lang", "source")
-    return docs.join(labels, "doc_id")
+    docs = documents(spark, sf) if docs is None else docs
+    return docs.select("doc_id", "text", "lang", "source").join(labels, "doc_id")
 
 
 LABELLED = """labelled AS (
