@@ -9,7 +9,7 @@ from threadloom.operators import threads as th
 from threadloom.plans.incremental_threads import merge_load
 from threadloom.queries import standins as st
 from threadloom.queries.registry import query
-from threadloom.queries.threads import LABEL_TASKS, THREAD_JOIN
+from threadloom.queries.threads import LABEL_TASKS, thread_join_sql
 from threadloom.session import scratch_path
 from threadloom.sinks import keyed, tables as sk
 
@@ -25,6 +25,11 @@ def sink_append_idempotent(spark, sf):
     return spark.read.parquet(path).select("id", "subreddit", "score")
 
 
+# An id that comes twice is stored once, its newest row.
+STORED_THREADS = thread_join_sql(f"""{st.COMMENTS.replace('comments AS', 'loaded AS', 1)},
+comments AS (SELECT * FROM loaded QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_ts DESC, score DESC) = 1)""")
+
+
 def _loads(spark, sf):
     """Posts and comments in two loads; the second one brings all rows, also those of the first."""
     posts, comments = st.posts(spark, sf), st.comments(spark, sf)
@@ -33,16 +38,16 @@ def _loads(spark, sf):
 
 
 # Both tables lie by post: neither appends nor the thread join shuffle what is stored.
-@query("sink_keyed_threads", THREAD_JOIN)
+@query("sink_keyed_threads", STORED_THREADS)
 def sink_keyed_threads(spark, sf):
     store = scratch_path(spark, "keyed")
     for posts, comments in _loads(spark, sf):
-        stored_posts = keyed.append_keyed(posts, f"{store}/posts", "id", ["created_ts"])
-        stored_comments = keyed.append_keyed(comments, f"{store}/comments", "id", ["created_ts"], within="post_id")
+        stored_posts = keyed.append_keyed(posts, f"{store}/posts", "id", ["created_ts", "score"])
+        stored_comments = keyed.append_keyed(comments, f"{store}/comments", "id", ["created_ts", "score"], within="post_id")
     return th.thread_texts(stored_posts.withColumnRenamed("subreddit", "category"), stored_comments, k=3, min_score=1000)
 
 
-@query("thread_export_incremental", THREAD_JOIN)
+@query("thread_export_incremental", STORED_THREADS)
 def thread_export_incremental(spark, sf):
     store = scratch_path(spark, "threads")
     for posts, comments in _loads(spark, sf):

@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.hashing import SEED, hash_bucket, hash_split
 from threadloom.functions.text import words
-from threadloom.session import over_cores
 from threadloom.sources.tables import load_table
 
 
+# The test tables are files of one row group, which one task reads; whoever times work on texts sets their tasks here.
+PARTITIONS: int | None = None
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents; a file or two of them are spread over the cores for work on their texts."""
-    return over_cores(load_table(spark, f"{sf}/documents.parquet"))
+    """The documents, dealt over ``PARTITIONS`` tasks if that is set."""
+    return load_table(spark, f"{sf}/documents.parquet", partitions=PARTITIONS)
 
 
 # -- SQL pieces ---------------------------------------------------------------

@@ -17,14 +17,16 @@ def topk_per_parent(spark, sf):
     return th.top_children(st.comments(spark, sf), 3).select("post_id", "id", F.col("rn").cast("bigint").alias("rn"))
 
 
-THREAD_JOIN = f"""WITH {st.POSTS}, {st.COMMENTS}, {st.RANKED},
+def thread_join_sql(comments: str) -> str:
+    """Thread texts; ``comments`` are CTEs ending in ``comments``."""
+    return f"""WITH {st.POSTS}, {comments}, {st.RANKED},
 children AS (SELECT post_id, string_agg(body, chr(10) || chr(10) ORDER BY rn) AS children FROM ranked WHERE rn <= 3 GROUP BY post_id)
 SELECT p.id, p.subreddit AS category,
        concat_ws(chr(10) || chr(10), p.title || chr(10) || p.selftext, coalesce(c.children, '')) AS text
 FROM posts p LEFT JOIN children c ON p.id = c.post_id WHERE p.score > 1000"""
 
 
-@query("text_thread_join", THREAD_JOIN)
+@query("text_thread_join", thread_join_sql(st.COMMENTS))
 def text_thread_join(spark, sf):
     posts = st.posts(spark, sf).withColumnRenamed("subreddit", "category")
     return th.thread_texts(posts, st.comments(spark, sf), k=3, min_score=1000)

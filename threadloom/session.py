@@ -116,9 +116,3 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     cores idle during heavy text work; dealing them costs a shuffle of the rows.
     """
     return df.repartition(partitions) if partitions else df
-
-
-def over_cores(df: DataFrame) -> DataFrame:
-    """Rows dealt over the session's cores where their files give fewer tasks than that; else as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
