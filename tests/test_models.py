@@ -169,6 +169,30 @@ def test_curve_in_one_pass_has_the_scores_of_single_fits(vectors):
     assert sorted(map(tuple, together.collect())) == [pytest.approx(r) for r in sorted(map(tuple, single.select(together.columns).collect()))]
 
 
+def test_terms_that_occur_together_cost_few_passes(spark):
+    # Pairs of terms that nearly always come together bend the loss in narrow valleys.
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        values = {}
+        for at in range(0, 30, 2):
+            amount = rng.random() ** 4
+            values[at], values[at + 1] = amount, amount + 0.01 * rng.random()
+        rows.append((float(rng.random() < sum(values.values()) / 8), Vectors.sparse(30, values)))
+    df = spark.createDataFrame(rows, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
+    blocks = softmax.blocked(df.repartition(3), "label", "features", F.array(F.lit(100.0)))
+    fits = softmax.fit(blocks, 30, 2)
+    assert fits.converged() and fits.iterations[0] <= 20
+
+
+def test_terms_behind_the_heaviest_keep_their_own_curvature(vectors, monkeypatch):
+    blocks = softmax.blocked(vectors, "label", "features")
+    every = softmax.fit(blocks, 8, 3)
+    monkeypatch.setattr(softmax, "HEAD", 3)
+    some = softmax.fit(blocks, 8, 3)
+    assert some.converged() and some.losses[0] == pytest.approx(every.losses[0], abs=1e-10)
+
+
 def test_rows_without_terms_and_dense_vectors(spark):
     rows = [(0.0, Vectors.dense([0.0, 0.0])), (1.0, Vectors.sparse(2, [], [])), (0.0, Vectors.dense([1.0, 0.0])), (None, Vectors.dense([1.0, 0.0]))]
     df = spark.createDataFrame(rows, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
