@@ -249,3 +249,25 @@ def test_balance_job_from_dumps(spark, tmp_path):
     totals = {r["dataset"]: r["objects"] for r in summary.collect()}
     assert totals["keto"] == 12 * 3 and totals["plantbaseddiet_combined"] == 15 + 2 * vegan
     assert totals["(total)"] == totals["keto"] + totals["plantbaseddiet_combined"] and len(totals) == 3
+
+
+def test_written_dumps_are_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    from threadloom.queries import sources
+
+    spark.range(200).selectExpr(
+        "id AS o_orderkey", "id % 30 AS o_custkey", "'O' AS o_orderstatus", "id * 10.5D AS o_totalprice", "timestamp'2020-01-01' AS o_orderdate",
+        "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(900).selectExpr(
+        "id % 200 AS l_orderkey", "cast(id % 7 AS int) AS l_linenumber", "id AS l_partkey", "id % 10 AS l_suppkey", "id * 1.5D AS l_extendedprice",
+        "timestamp'2020-01-01' AS l_shipdate",
+    ).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(sk, "LINES_PER_FILE", 100)
+    raw = sources.write_dumps(spark, str(tmp_path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(raw)
+    lines = spark.read.text(f"{raw}/orders_comments")
+    assert files.where("path LIKE '%orders_comments%'").count() >= 9 and lines.count() == 900
+    packed = files.where("path LIKE '%orders_comments%'").selectExpr("sum(length)").first()[0]
+    assert packed * 3 < lines.selectExpr("sum(octet_length(value) + 1)").first()[0]
+    posts, comments = load_dumps(spark, raw, str(tmp_path / "store"))
+    assert posts.count() == 200 and comments.count() == sum(i % 7 <= 5 for i in range(900))

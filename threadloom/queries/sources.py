@@ -21,7 +21,7 @@ def _epoch(number):
 
 
 def write_dumps(spark, sf) -> str:
-    """All orders and line items as a folder with one post and one comment dump."""
+    """All orders and line items as a folder with one post and one comment dump, compressed as dumps are."""
     raw = scratch_path(spark, "raw")
     posts = st.posts(spark, sf)
     number = F.col("id").cast("bigint")
@@ -30,14 +30,14 @@ def write_dumps(spark, sf) -> str:
             "id", "subreddit", "title", "selftext", F.floor("score").alias("score"), F.lit(3).alias("num_comments"),
             _epoch(number).alias("created_utc"),
         ),
-        f"{raw}/orders_submissions",
+        f"{raw}/orders_submissions", compression="gzip",
     )
     write_json_lines(
         st.comments(spark, sf).select(
             "id", "link_id", "parent_id", F.lit("someone").alias("author"), F.lit("orders").alias("subreddit"), "body",
             F.floor("score").cast("string").alias("score"), _epoch(F.col("post_id").cast("bigint")).alias("created_utc"),
         ),
-        f"{raw}/orders_comments",
+        f"{raw}/orders_comments", compression="gzip",
     )
     return raw
 
