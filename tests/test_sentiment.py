@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import string
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.rules import DOMAIN_RULES, corrected_label
 from threadloom.operators.sentiment import Scheme, add_sentiment, score_texts
+from threadloom.session import setting
 
 LEXICON = {"good": 1.9, "great": 3.1, "bad": -2.5, "awful": -2.0, ":)": 2.0, "very": 0.4, "ok": 0.9}
 SCHEME = Scheme(phrases=None)
@@ -218,3 +220,14 @@ def test_rules_by_topic(spark):
 def test_rule_table_size():
     sizes = {t: (len(r["positive"]), len(r["negative"])) for t, r in DOMAIN_RULES.items()}
     assert sizes == {"keto": (19, 12), "intermittentfasting": (15, 12), "plantbaseddiet": (18, 16), "general": (6, 6)}
+
+
+@pytest.mark.parametrize("entries", [100, 2])
+def test_the_published_steps_are_compiled(spark, capsys, entries):
+    """The JVM leaves methods of more than 8,000 bytes uncompiled."""
+    df = spark.createDataFrame([(1, "not good")], "id long, text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        score_texts(df, "text", lexicon, scheme=PUBLISHED, broadcast_entries=entries).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions.labels import by_threshold
-from threadloom.functions.text import null_text
+from threadloom.functions.text import bind, null_text
 from threadloom.session import settle
 
 # Rows up to which a lexicon is broadcast.
@@ -143,7 +143,7 @@ def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def _sets(col: Column, groups: Mapping[float, Sequence[str]], default: float) -> Column:
+def _sets(col: Column, groups: Mapping[float, Sequence[str]], default: float | None) -> Column:
     out = None
     for value, members in groups.items():
         hit = col.isin(list(members))
@@ -208,87 +208,98 @@ def _found(word: Column, members: Sequence[str]) -> Column:
     return F.coalesce(word.isin(list(members)), F.lit(False)) if members else F.lit(False)
 
 
-def _step(hits: DataFrame, distance: int, weight: float, scheme: Scheme) -> DataFrame:
-    """The value of each hit after the word at a distance before it: its degree is added, then it may negate."""
-    rules, value = scheme.phrases, F.col("_value")
-    before = [F.lower(F.col(f"_before{d}")) for d in range(1, distance + 1)]
+def _step(value: Column, distance: int, weight: float, scheme: Scheme) -> Column:
+    """The value of a hit after the word at a distance before it: its degree is added, then it may negate."""
+    rules = scheme.phrases
+    before = [F.col(f"_low_before{d}") for d in range(1, distance + 1)]
     own, shown = before[-1], F.col(f"_before{distance}")
     degree = _sets(own, _by_value({w: x for w, x in scheme.boosters.items() if " " not in w}), 0.0)
     degree = F.when(own.isNotNull(), degree).otherwise(F.lit(0.0))
-    loud = F.when(F.col("_mixed") & _all_capitals(shown), F.when(value > 0, scheme.capitals).otherwise(-scheme.capitals)).otherwise(F.lit(0.0))
-    added = F.when(degree != 0, (F.when(value < 0, -degree).otherwise(degree) + loud) * weight).otherwise(F.lit(0.0))
-    hits = hits.withColumn("_raised", value + added)
-    raised = F.col("_raised")
+    shouted = F.col("_mixed") & _all_capitals(shown)
+
+    def loud(v: Column) -> Column:
+        return F.when(shouted, F.when(v > 0, scheme.capitals).otherwise(-scheme.capitals)).otherwise(F.lit(0.0))
+
+    def added(v: Column, x: Column) -> Column:
+        return F.when(x != 0, (F.when(v < 0, -x).otherwise(x) + loud(v)) * weight).otherwise(F.lit(0.0))
+
     negated = _found(own, scheme.negators) | F.coalesce(F.contains(own, F.lit(rules.contraction)), F.lit(False))
-    turned = F.when(negated, raised * scheme.negation).otherwise(raised)
-    between = before[:-1]
-    if between:
-        so = _found(own, [rules.never]) & _found(between[-1], rules.so)
-        if distance > 2:
-            # As published: at this distance "so" or "this" right before the word is enough.
-            so = so | _found(before[0], rules.so)
-        doubt = _found(between[0], [rules.doubt])
-        for word in between[1:]:
-            doubt = doubt | _found(word, [rules.doubt])
-        turned = F.when(so, raised * rules.strengthened).when(_found(own, [rules.without]) & doubt, raised).otherwise(turned)
+
+    def turned(raised: Column) -> Column:
+        out = F.when(negated, raised * scheme.negation).otherwise(raised)
+        between = before[:-1]
+        if between:
+            so = _found(own, [rules.never]) & _found(between[-1], rules.so)
+            if distance > 2:
+                # As published: at this distance "so" or "this" right before the word is enough.
+                so = so | _found(before[0], rules.so)
+            doubt = _found(between[0], [rules.doubt])
+            for word in between[1:]:
+                doubt = doubt | _found(word, [rules.doubt])
+            out = F.when(so, raised * rules.strengthened).when(_found(own, [rules.without]) & doubt, raised).otherwise(out)
+        return out
+
     counts = own.isNotNull() & ~F.col(f"_known{distance}")
-    return hits.withColumn("_value", F.when(counts, turned).otherwise(value))
+    return bind(value, lambda v: F.when(counts, bind(v + bind(degree, lambda x: added(v, x)), turned)).otherwise(v))
 
 
-def _of_idioms(hits: DataFrame, scheme: Scheme) -> DataFrame:
+def _of_idioms(value: Column, scheme: Scheme) -> Column:
     """The value of an idiom around the hit, and degree phrases before it; only after three words, as published."""
-    word = {0: F.lower(F.col("_shown"))}
-    word |= {-d: F.lower(F.col(f"_before{d}")) for d in (1, 2, 3)} | {d: F.lower(F.col(f"_after{d}")) for d in (1, 2)}
+    word = {0: F.col("token")}
+    word |= {-d: F.col(f"_low_before{d}") for d in (1, 2, 3)} | {d: F.col(f"_low_after{d}") for d in (1, 2)}
 
     def phrase(first: int, last: int) -> Column:
         # Null if a word is missing.
         return F.concat(*[c for at in range(first, last + 1) for c in ((F.lit(" "),) if at > first else ()) + (word[at],)])
 
-    def valued(places: Sequence[tuple[int, int]], table: Mapping[str, float], default: Column) -> Column:
-        out = None
-        for value, members in _by_value(table).items():
-            for place in places:
-                out = (F.when if out is None else out.when)(_found(phrase(*place), members), F.lit(value))
-        return default if out is None else out.otherwise(default)
+    def valued(place: tuple[int, int], table: Mapping[str, float], default: Column) -> Column:
+        """The value of the words at the place, which are put together once."""
+        if not table:
+            return default
+        return F.coalesce(bind(phrase(*place), lambda p: _sets(p, _by_value(table), None)), default)
 
     def first_match(places: Sequence[tuple[int, int]], default: Column) -> Column:
         for place in reversed(places):
-            default = valued([place], scheme.phrases.idioms, default)
+            default = valued(place, scheme.phrases.idioms, default)
         return default
 
     # Of phrases that begin with the hit the longer one counts, then the shorter one, then those that end with or before it.
-    idiom = first_match([(0, 2), (0, 1), (-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)], F.col("_value"))
+    idiom = first_match([(0, 2), (0, 1), (-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)], value)
     degrees = {w: x for w, x in scheme.boosters.items() if " " in w}
     for place in ((-3, -1), (-3, -2), (-2, -1)):
-        idiom = idiom + valued([place], degrees, F.lit(0.0))
+        idiom = idiom + valued(place, degrees, F.lit(0.0))
     counts = F.col("_before3").isNotNull() & ~F.col("_known3")
-    return hits.withColumn("_value", F.when(counts, idiom).otherwise(F.col("_value")))
+    return F.when(counts, idiom).otherwise(value)
 
 
 def _published(hits: DataFrame, lexicon: DataFrame, small: bool, scheme: Scheme) -> tuple[DataFrame, Column]:
-    """Hits with all that the published steps need, and the whole units each of them adds."""
+    """Hits with all that the published steps need, and the whole units each of them adds.
+
+    The steps are one bound expression. As a column each they made up one
+    generated method of 24 KB, and the JVM leaves methods above 8 KB uncompiled.
+    """
     rules = scheme.phrases
+    around = [f"_before{d}" for d in (1, 2, 3)] + ["_after1", "_after2"]
+    hits = hits.select("*", *[F.lower(F.col(name)).alias(f"_low{name}") for name in around])
     # Whether the words around a hit are in the lexicon; where there is none, the row's number stands in for it.
     for name, flag in [(f"_before{d}", f"_known{d}") for d in (1, 2, 3)] + [("_after1", "_known_after")]:
-        key = F.coalesce(F.lower(F.col(name)), F.concat(F.lit("\0"), F.col("_row").cast("string")))
+        key = F.coalesce(F.col(f"_low{name}"), F.concat(F.lit("\0"), F.col("_row").cast("string")))
         known = lexicon.select(F.col("token").alias("_key"), F.lit(True).alias(flag))
         hits = hits.withColumn("_key", key).join(F.broadcast(known) if small else known, "_key", "left").drop("_key")
         hits = hits.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-    before = {d: F.lower(F.col(f"_before{d}")) for d in (1, 2, 3)}
+    before = {d: F.col(f"_low_before{d}") for d in (1, 2, 3)}
     token, valence = F.col("token"), F.col("valence")
     no = _found(before[1], [rules.no]) | _found(before[2], [rules.no])
     no = no | (_found(before[3], [rules.no]) & _found(before[1], rules.alternatives))
-    start = F.when(no, valence * scheme.negation).when(_found(token, [rules.no]) & F.col("_known_after"), F.lit(0.0)).otherwise(valence)
-    hits = hits.withColumn("_value", start)
-    loud = F.when(F.col("_value") > 0, scheme.capitals).otherwise(-scheme.capitals)
-    loud = F.when(F.col("_mixed") & _all_capitals(F.col("_shown")), loud).otherwise(F.lit(0.0))
-    hits = hits.withColumn("_value", F.col("_value") + loud)
+    value = F.when(no, valence * scheme.negation).when(_found(token, [rules.no]) & F.col("_known_after"), F.lit(0.0)).otherwise(valence)
+    shouted = F.col("_mixed") & _all_capitals(F.col("_shown"))
+    value = bind(value, lambda v: v + F.when(shouted, F.when(v > 0, scheme.capitals).otherwise(-scheme.capitals)).otherwise(F.lit(0.0)))
     for distance, weight in enumerate(scheme.damping, start=1):
-        hits = _step(hits, distance, weight, scheme)
-    hits = _of_idioms(hits, scheme)
+        value = _step(value, distance, weight, scheme)
+    value = bind(value, lambda v: _of_idioms(v, scheme))
     least = _found(before[1], [rules.least]) & ~F.col("_known1") & ~_found(before[2], rules.spared)
-    value = F.when(least, F.col("_value") * scheme.negation).otherwise(F.col("_value"))
-    silent = _found(token, list(scheme.boosters)) | (_found(token, rules.unvalued[:1]) & _found(F.lower(F.col("_after1")), rules.unvalued[1:]))
+    value = bind(value, lambda v: F.when(least, v * scheme.negation).otherwise(v))
+    silent = _found(token, list(scheme.boosters)) | (_found(token, rules.unvalued[:1]) & _found(F.col("_low_after1"), rules.unvalued[1:]))
     hits = hits.withColumn("_value", F.when(silent, F.lit(0.0)).otherwise(value))
     return hits, _whole_units(F.col("_value"), F.col("_at"), scheme)
 
