@@ -271,3 +271,24 @@ def test_written_dumps_are_compressed_in_bounded_files(spark, tmp_path, monkeypa
     assert packed * 3 < lines.selectExpr("sum(octet_length(value) + 1)").first()[0]
     posts, comments = load_dumps(spark, raw, str(tmp_path / "store"))
     assert posts.count() == 200 and comments.count() == sum(i % 7 <= 5 for i in range(900))
+
+
+def test_a_long_array_is_written_by_many_tasks(spark, tmp_path, small_ranges, monkeypatch):
+    df = spark.createDataFrame([(i, NASTY[i % 10] * 20) for i in range(600)], "id long, text string").repartition(7)
+    monkeypatch.setattr(sk, "ONE_FILE_BYTES", 5_000)
+    sk.write_json_array(df, str(tmp_path / "long"))
+    files = sorted((tmp_path / "long").glob("part-*"))
+    content = [p.read_text(encoding="utf-8") for p in files]
+    assert len(files) > 5 and max(map(len, content)) < sum(map(len, content)) / 4
+    expected = sorted((i, NASTY[i % 10] * 20) for i in range(600))
+    assert sorted((r["id"], r["text"]) for r in json.loads("".join(content))) == expected
+    found = [json.loads(r.record) for r in array_records(spark, str(tmp_path / "long")).collect()]
+    assert sorted((r["id"], r["text"]) for r in found) == expected
+    # As one array of whole records again, also of one element, and beside arrays that end in their files.
+    records = array_records(spark, str(tmp_path / "long"))
+    tasks.write_record_array(records, str(tmp_path / "again"))
+    assert array_records(spark, [str(tmp_path / "again"), str(tmp_path / "long")]).count() == 1200
+    monkeypatch.setattr(sk, "ONE_FILE_BYTES", 10)
+    sk.write_json_array(df.where("id = 3"), str(tmp_path / "one"))
+    assert len(json.loads("".join(p.read_text() for p in sorted((tmp_path / "one").glob("part-*"))))) == 1
+    assert array_records(spark, str(tmp_path / "one")).count() == 1

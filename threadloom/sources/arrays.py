@@ -6,7 +6,7 @@ into byte ranges and every row is what lies between two closing braces. What a
 row means depends on what came before: whether it starts inside a string, and how
 deep. A first pass finds for each range how it changes both, once for a start
 inside and once outside a string; folded in file order, that gives every range
-its start. The second pass cuts the records, the objects at depth one. A record
+its start. An array may go on over the part files of one write. The second pass cuts the records, the objects at depth one. A record
 that crosses into other ranges leaves a piece in each; only these are shuffled.
 """
 
@@ -85,12 +85,24 @@ def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
+# A part file of one write, up to the number of the part and behind it.
+PART_FILE = re.compile(r"(.*/part-)\d+(-[0-9a-f-]{36}).*")
+
+
+def continues(path: str, before: str | None) -> bool:
+    """Whether both are part files of one write, so that an array may go on from one to the next."""
+    mine, theirs = PART_FILE.match(path), PART_FILE.match(before or "")
+    return bool(mine and theirs and mine.groups() == theirs.groups())
+
+
 def starts(summaries: list) -> dict[tuple[str, int], tuple[bool, int, int]]:
     """For each range whether it starts in a string, at what depth, and the range in which the open record began."""
-    found, path = {}, None
+    found, path, in_string, depth = {}, None, False, 0
     for s in sorted(summaries, key=lambda s: (s["path"], s["start"])):
         if s["path"] != path:
-            path, in_string, depth, begun = s["path"], False, 0, -1
+            # Part files end with a line's end, which was read with a brace that isn't there.
+            depth = max(depth + 1, 0) if not in_string and continues(s["path"], path) else 0
+            path, in_string, begun = s["path"], False, -1
         found[path, s["start"]] = (in_string, depth, begun)
         side = "string" if in_string else "text"
         closed = depth + s[f"least_after_{side}"] <= 1
