@@ -129,3 +129,14 @@ def test_a_load_that_ran_half_runs_again(spark, tmp_path, monkeypatch):
         inc.merge_load(posts, comments, str(tmp_path / "a"), parts=8)
     again = inc.merge_load(posts, comments, str(tmp_path / "a"), parts=8)
     assert rows_of(again) == rows_of(inc.merge_load(posts, comments, str(tmp_path / "b"), parts=8))
+
+
+def test_a_load_ranks_its_comments_once(spark, tmp_path, no_broadcast, monkeypatch):
+    posts, comments = made(spark, 7)
+    plans, settle, replace = {}, inc.settle, inc.replace_parts
+    monkeypatch.setattr(inc, "settle", lambda df, name: plans.update({name: plan_of(df)}) or settle(df, name))
+    monkeypatch.setattr(inc, "replace_parts", lambda df, path: plans.update({path[-7:]: plan_of(df)}) or replace(df, path))
+    for _ in range(2):
+        inc.merge_load(posts, comments, str(tmp_path), parts=8)
+        assert plans["best"].count("Exchange hashpartitioning") == 1 and "Window" not in plans["threads"]
+        assert "touched-posts" not in plans

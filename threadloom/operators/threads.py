@@ -58,15 +58,16 @@ def _with_children(posts: DataFrame, children: DataFrame) -> DataFrame:
 
 def thread_texts(
     posts: DataFrame, comments: DataFrame, k: int = 3, min_score: float | None = 1,
-    order: Sequence[Column] | None = None,
+    order: Sequence[Column] | None = None, ranked: bool = False,
 ) -> DataFrame:
     """(id, category, text): title, text and the top comments of each post.
 
-    Comments are reduced to one row per post before the join.
+    Comments are reduced to one row per post before the join; with ``ranked``
+    they are the top ones already, with their rank ``rn``.
     """
     if min_score is not None:
         posts = posts.where(F.col("score") > min_score)
-    children = joined_children(top_children(comments, k, order=order), k, "\n\n")
+    children = joined_children(comments if ranked else top_children(comments, k, order=order), k, "\n\n")
     body = tx.thread_text(F.col("title"), F.col("selftext"), F.col("children"))
     return _with_children(posts.select("id", "category", "title", "selftext"), children).select(
         "id", "category", body.alias("text")

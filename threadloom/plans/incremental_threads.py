@@ -63,13 +63,14 @@ def merge_load(
     new_posts = settle(unseen(posts, known_posts, "id", NEWEST), "new-posts")
     new_comments = settle(unseen(comments.where("post_id IS NOT NULL"), known_comments, "id", NEWEST), "new-comments")
     # Posts and comments are stored last, so what a load that ran half has merged comes once more and is merged again.
-    best = known_best.unionByName(new_comments).dropDuplicates(["id"])
-    best = settle(top_children(best, k).select(*comments.columns), "best")
-    every_post = settle(known_posts.unionByName(new_posts), "touched-posts")
-    texts = thread_texts(every_post.withColumnRenamed("subreddit", "category"), best, k, min_score)
+    # Such a comment has two rows, so the best k are among the best 2 k; all is done where the post's rows meet once.
+    best = top_children(known_best.unionByName(new_comments), 2 * k).drop("rn").dropDuplicates(["post_id", "id"])
+    best = settle(top_children(best, k), "best")
+    every_post = known_posts.unionByName(new_posts)
+    texts = thread_texts(every_post.withColumnRenamed("subreddit", "category"), best, k, min_score, ranked=True)
     export = texts.withColumn(PART, part_of(F.col("id"), parts))
     create_table(spark, f"{store}/threads", export.schema, PART)
-    replace_parts(best, f"{store}/best")
+    replace_parts(best.drop("rn"), f"{store}/best")
     replace_parts(export, f"{store}/threads")
     for name, df in (("posts", new_posts), ("comments", new_comments)):
         # Several tasks to a part, for a post that a big share of the comments belongs to.
