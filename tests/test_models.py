@@ -86,6 +86,23 @@ def test_sweep_curve_and_adaptation_run(reviews, vectors):
     assert -1 <= md.adapt_by_refit(*parts, 3)[2].first()["gain"] <= 1
 
 
+def test_sizes_of_a_sweep_share_their_scans(reviews, monkeypatch):
+    asked, scan = [], softmax.losses_and_gradients
+    monkeypatch.setattr(softmax, "losses_and_gradients", lambda blocks, points, *rest: asked.append(len(points)) or scan(blocks, points, *rest))
+    train, val = reviews.where("split = 'train'"), reviews.where("split = 'val'")
+    sizes = [3, 6, 12]
+    _, fitted = md.vocabulary_sweep(train, val, sizes, 3)
+    assert asked[0] == 3 and len(asked) < 2 * max(fits.iterations[0] for _, fits in fitted)
+    for size, (blocks, fits) in zip(sizes, fitted):
+        # The same optimum as that of vectors of the smaller vocabulary.
+        own = ft.vectorise(ft.fit_vectoriser(train, "text", size, stop_words=()), train)
+        alone = softmax.fit(softmax.blocked(own, "label", "features"), size, 3)
+        assert fits.converged() and fits.coefficients[0].shape == (size + 1, 3)
+        assert fits.losses[0] == pytest.approx(alone.losses[0], abs=1e-9)
+        ((fitted_moment, observed),) = softmax.moments(blocks, fits)
+        assert np.abs(fitted_moment - observed).max() < 1e-6 * observed[-1].sum()
+
+
 def test_refit_starts_where_the_base_model_ended(vectors):
     train, val = vectors.where("split = 'train'"), vectors.where("split = 'val'")
     base, refit, _ = md.adapt_by_refit(train, val, train, val, 3)
