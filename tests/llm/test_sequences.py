@@ -305,6 +305,19 @@ def test_windows_of_many_words_are_counted_apart():
     assert found == expected
 
 
+def test_windows_of_a_block_are_sent_in_small_batches(monkeypatch):
+    held = collocations.Writing()
+    held.add("de", b"a b c d a e. b c f, g h i j k a b")
+    held.add("fr", b"a b c d; b c f g h i a")
+    numbers, words, langs, names = held.row().columns
+    block = collocations.Block(numbers[0].as_py(), words.values, langs[0].as_py(), names[0].as_py())
+    (whole,) = collocations.window_batches(block, [])
+    monkeypatch.setattr(collocations, "SENT_WINDOWS", 7)
+    some = list(collocations.window_batches(block, []))
+    assert len(some) > 2 and max(batch.num_rows for batch in some) <= 7
+    assert [row for batch in some for row in batch.to_pylist()] == whole.to_pylist()
+
+
 def test_phrases_agree_with_sql(spark):
     found = __spark_entry__.queries()["op11_collocations"](spark, SF)
     assert check.compare(check.connect(SF), found, collocations.SQL) == ""
